@@ -141,11 +141,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, sample: i
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
     known = rows.where("rule is not null").select("url", "host", "path", blocked.cast("int").alias("y"))
     labels = F.split("host", r"\.")
-    keys = F.array(F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.split_part(F.ltrim(F.lit("/"), "path"), F.lit("/"), F.lit(1)))
+    keys = F.array(F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.split_part(F.ltrim(F.col("path"), F.lit("/")), F.lit("/"), F.lit(1)))
     counts = known.select("y", F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.sum("y").alias("n1"), F.count("y").alias("n"))
     suffixes = {r.key: (r.n1 + 1) / (r.n + 2) for r in counts.orderBy(F.desc("n"), "key").limit(1000).collect()}
     got = known.orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
-    x = np.array([lexical(r.url, r.host, r.path, suffixes) for r in got], float).reshape(len(got), -1)
+    x = np.array([lexical(r.url, r.host, r.path, suffixes) for r in got], float) if got else np.empty((0, 1))
     sent = spark.sparkContext.broadcast((Trees().fit(x, np.array([r.y for r in got], float)), suffixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
