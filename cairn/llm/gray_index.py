@@ -45,18 +45,21 @@ class GrayIndex:
             mask, pattern = common, pattern[starts] & common
             self.levels.append([mask, pattern, end])
 
-    def pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Leaf positions i < j within the distance, in blocks of bounded size."""
-        n = len(self.leaves)
+    def pairs(self, distance: int, queries: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaf positions i < j within the distance, in blocks of bounded size; or each i of ``queries`` with all such j."""
+        n, own = len(self.leaves), queries is None
+        queries = np.arange(n) if own else queries
         step = max(1, min(n, 2_000_000 // max(n, 1)))
-        for at in range(0, n, step):
-            q = np.repeat(np.arange(at, min(n, at + step)), len(self.levels[-1][0]))
-            node = np.tile(np.arange(len(self.levels[-1][0])), min(n, at + step) - at)
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            q = np.repeat(some, len(self.levels[-1][0]))
+            node = np.tile(np.arange(len(self.levels[-1][0])), len(some))
             sum_ = np.zeros(len(q), np.uint8)
             for depth in range(len(self.levels) - 1, -1, -1):
                 mask, pattern, end = self.levels[depth]
-                later = end[node] > q + 1  # else all its leaves come before q
-                q, node, sum_ = q[later], node[later], sum_[later]
+                if own:
+                    later = end[node] > q + 1  # else all its leaves come before q
+                    q, node, sum_ = q[later], node[later], sum_[later]
                 sum_ = sum_ + np.bitwise_count((self.leaves[q] ^ pattern[node]) & mask[node])
                 near = sum_ <= distance
                 q, node, sum_ = q[near], node[near], sum_[near]
@@ -76,16 +79,35 @@ def linked(values: np.ndarray, distance: int, agree: Callable[[int, int], bool]
     if len(values) < 2:
         return labels
     index = GrayIndex(values)
-    for i, j in index.pairs(distance):
-        i, j = index.order[i], index.order[j]
-        if agree is None:
-            merge_labels(labels, i, j)
-            continue
-        apart = labels[i] != labels[j]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            if labels[a] != labels[b] and agree(a, b):
-                merge_labels(labels, np.array([a]), np.array([b]))
-    return labels
+    if agree is None:
+        for i, j in index.pairs(distance):
+            merge_labels(labels, index.order[i], index.order[j])
+        return labels
+    parent = labels.tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(index.order[i].tolist(), index.order[j].tolist(), strict=True):
+            a_root, b_root = root(a), root(b)
+            if a_root != b_root and agree(a, b):
+                parent[max(a_root, b_root)] = min(a_root, b_root)
+
+    # Neighbours in Gray order first: that connects dense groups with one check for each value.
+    near = np.flatnonzero(np.bitwise_count(index.leaves[1:] ^ index.leaves[:-1]) <= distance)
+    join(near, near + 1)
+    # Links inside the largest group add nothing; all others have an end outside it.
+    labels = np.array([root(x) for x in range(len(parent))])
+    outside = np.flatnonzero(labels[index.order] != np.bincount(labels).argmax())
+    for i, j in index.pairs(distance, outside):
+        labels = np.array([root(x) for x in range(len(parent))])
+        apart = labels[index.order[i]] != labels[index.order[j]]
+        join(i[apart], j[apart])
+    return np.array([root(x) for x in range(len(parent))])
 
 
 def first_masks(distance: int) -> list[int]:
@@ -217,6 +239,8 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
     """Join small batches into larger ones."""
     held, n = [], 0
     for b in batches:
+        if not b.num_rows:
+            continue
         held.append(b)
         n += b.num_rows
         if n >= rows:
