@@ -74,7 +74,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
         encoding, size = subwords(path)
         total = np.zeros(size, np.int64)
         for b in batches:
-            got = encoding.encode_ordinary_batch([" " + w for w in b.column("word").to_pylist() if w], num_threads=1)
+            got = [encoding.encode_ordinary(" " + w) for w in b.column("word").to_pylist() if w]
             n = [n for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w]
             if got:
                 np.add.at(total, np.concatenate(got), np.repeat(n, [len(g) for g in got]))
@@ -111,6 +111,8 @@ class Attention:
             "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": draw(d, d) * 0.5, "A": draw(d, 2 * d), "a": np.zeros(2 * d, np.float32), "B": draw(2 * d, d) * 0.5,
             "U": draw(d, CLASSES) * 0.1, "u": prior.astype(np.float32),
         }
+        self.ones = np.ones(CLASSES, np.float32)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
     def forward(self, x: np.ndarray, first: int = 0) -> tuple:
@@ -129,14 +131,25 @@ class Attention:
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability, for the targets after the context."""
-        g = self.forward(x, CONTEXT)[-1].reshape(-1, WIDTH)
-        logits = g @ self.p["U"]
-        logits += self.p["u"]
+        p, b = self.p, len(x)
+        e = p["E"][x] + p["P"]
+        # One product for all three projections; scores and logits are small, so their exponentials need no shift.
+        qkv = (e.reshape(-1, WIDTH) @ np.concatenate([p["Q"] * (1 / math.sqrt(WIDTH)), p["K"], p["V"]], axis=1)).reshape(b, WINDOW, 3 * WIDTH)
+        q, k, v = qkv[:, CONTEXT:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+        s = np.matmul(np.ascontiguousarray(q), np.ascontiguousarray(k.transpose(0, 2, 1)))
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= self.seen
+        c = np.matmul(s, np.ascontiguousarray(v)) / s.sum(-1, keepdims=True)
+        h = e[:, CONTEXT:].reshape(-1, WIDTH) + c.reshape(-1, WIDTH) @ p["O"]
+        g = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]
+        logits = np.column_stack([g, self.ones[:1].repeat(len(g))]) @ np.concatenate([p["U"], p["u"][None]])
         target = logits[np.arange(len(g)), y.ravel()].astype(np.float64)
-        top = logits.max(-1, keepdims=True)
-        logits -= top
+        if np.abs(g).max() * np.abs(p["U"]).sum(0).max() + np.abs(p["u"]).max() > 80:
+            top = logits.max(-1, keepdims=True)
+            logits, target = logits - top, target - top[:, 0]
         np.exp(logits, out=logits)
-        return (target - top[:, 0] - np.log(logits.sum(-1, dtype=np.float64))).reshape(y.shape)
+        return (target - np.log((logits @ self.ones).astype(np.float64))).reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         p, (e, q, k, v, s, c, h, r, g) = self.p, self.forward(x)
@@ -351,13 +364,15 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
             number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             start = begin[owner] + number * STRIDE
             score = np.array(sums)
-            for a in range(0, len(owner), 128):
-                s = start[a : a + 128]
+            for a in range(0, len(owner), 32):
+                s = start[a : a + 32]
                 x = flat[s[:, None] + np.arange(WINDOW)]
                 y = flat[s[:, None] + np.arange(CONTEXT + 1, WINDOW + 1)]
                 log = model.log_probabilities(x, y)
-                inside = number[a : a + 128, None] * STRIDE + np.arange(STRIDE) < length[owner[a : a + 128]][:, None]
-                score += np.bincount(owner[a : a + 128], (log * inside).sum(1), len(streams)) / math.log(10)
+                inside = number[a : a + 32, None] * STRIDE + np.arange(STRIDE) < length[owner[a : a + 32]][:, None]
+                first = int(owner[a])
+                some = np.bincount(owner[a : a + 32] - first, (log * inside).sum(1)) / math.log(10)
+                score[first : first + len(some)] += some
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([n - sum(r["n"] for r in x) if known else 0 for n, x in zip(sizes, rare, strict=True)], pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
                 names=["doc_id", "n_tokens", "known", "base", "score", "rare"],
