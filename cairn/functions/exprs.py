@@ -101,7 +101,7 @@ def source_index_strict(external: Column, path: Column) -> Column:
 def quality_score(width: Column, height: Column, variance: Column) -> Column:
     """P12 over measured pixels."""
     ratio = F.greatest(width, height) / F.greatest(F.least(width, height), F.lit(1))
-    penalty = F.when(ratio > 3, F.lit(0.5)).otherwise(F.lit(0.0))
+    penalty = F.greatest(F.lit(0.0), F.least(F.lit(0.35), (ratio - 2.5) * 0.15))
     score = F.least(F.lit(1.0), F.log1p(variance) / 7.5) * (1 - penalty)
     return F.when((F.least(width, height) < 16) | (variance < 1), 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), score)), 4))
 
