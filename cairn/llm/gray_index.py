@@ -133,6 +133,7 @@ def segments(batches: Iterator[pa.RecordBatch], masks: list[int], most: int) ->
     """Runs of rows that share a block, from batches sorted by (mask, block): mask number, rows, and whether the run is part of one longer than ``most``.
 
     A run longer than ``most`` is passed on in pieces, so memory is bounded.
+    Runs of one row are left out where a batch shows them to be whole.
     """
     table_of = np.array(masks, dtype=np.uint64)
     held: list[pa.Table] = []
@@ -145,7 +146,10 @@ def segments(batches: Iterator[pa.RecordBatch], masks: list[int], most: int) ->
         cut = np.flatnonzero((kind[1:] != kind[:-1]) | (block[1:] != block[:-1])) + 1
         bounds = np.concatenate([[0], cut, [batch.num_rows]])
         rows = pa.Table.from_batches([batch])
-        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        # Single rows have no partner; only the first and last run of a batch may go on in another.
+        runs = np.flatnonzero(np.diff(bounds) > 1)
+        runs = np.union1d(runs, [0, len(bounds) - 2])
+        for a, z in zip(bounds[runs].tolist(), bounds[runs + 1].tolist(), strict=True):
             key = (int(kind[a]), int(block[a]))
             if key != held_key:
                 if held:
