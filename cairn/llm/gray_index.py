@@ -13,6 +13,8 @@ from cairn.llm.common import materialise, spread
 from cairn.llm.components import merge_labels
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: So few values are compared with each other directly; a tree over them costs more.
+FEW = 16
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -78,6 +80,14 @@ def linked(values: np.ndarray, distance: int, agree: Callable[[int, int], bool]
     labels = np.arange(len(values))
     if len(values) < 2:
         return labels
+    if agree is not None and len(values) <= FEW:
+        each, parent = values.tolist(), labels.tolist()
+        for i, x in enumerate(each):
+            for j in range(i):
+                if parent[i] != parent[j] and (x ^ each[j]).bit_count() <= distance and agree(i, j):
+                    low, high = sorted((parent[i], parent[j]))
+                    parent = [low if r == high else r for r in parent]
+        return np.array(parent)
     index = GrayIndex(values)
     if agree is None:
         for i, j in index.pairs(distance):
