@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -87,29 +87,75 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each subword id, and log10 of its share of the class: frequent ids are classes of their own, the others are binned by rank to equal weight."""
+def starting_words(path: str) -> np.ndarray:
+    """Which subword ids begin a word: those whose bytes begin with a space."""
+    encoding, size = subwords(path)
+    return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(size)])
+
+
+def classes_of(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each subword id, log10 of its share of the class, and which classes begin a word.
+
+    Frequent ids are classes of their own; the others are binned by rank to
+    equal weight, those that begin a word apart. The end of a text counts as a
+    beginning: it follows a whole word.
+    """
     own = CLASSES - 65
     order = np.lexsort((np.arange(len(counts)), -counts))
     of = np.empty(len(counts), np.int64)
     of[order[:own]] = np.arange(min(own, len(order)))
-    rest = order[own:]
-    weight = np.cumsum(counts[rest] + 1.0)
-    of[rest] = own + np.minimum(63, (weight * 64 / max(weight[-1], 1.0)).astype(np.int64)) if len(rest) else 0
+    starts = np.zeros(CLASSES, np.float32)
+    starts[END] = 1
+    starts[of[order[:own]]] = begins[order[:own]]
+    for half, kind in enumerate((True, False)):
+        rest = order[own:][begins[order[own:]] == kind]
+        weight = np.cumsum(counts[rest] + 1.0)
+        if len(rest):
+            of[rest] = own + 32 * half + np.minimum(31, (weight * 32 / weight[-1]).astype(np.int64))
+        starts[own + 32 * half : own + 32 * (half + 1)] = kind
     total = np.bincount(of, counts + 1.0, CLASSES)
-    return of, np.log10((counts + 1.0) / total[of])  # shares sum to one in each class
+    return of, np.log10((counts + 1.0) / total[of]), starts  # shares sum to one in each class
+
+
+def class_pairs(words: DataFrame, path: str, of: np.ndarray) -> np.ndarray:
+    """Log share of each class after each other one, from all words' counts; after a word comes any first class, by its share."""
+    cells = CLASSES * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total = subwords(path)[0].encode_ordinary, np.zeros(cells + 2 * CLASSES)
+        for b in batches:
+            each = [of[encode(" " + w)] if w else np.array([END]) for w in b.column("word").to_pylist()]
+            if not each:
+                continue
+            n, size = b.column("n").to_numpy().astype(np.float64), np.array([len(e) for e in each])
+            flat, last = np.concatenate(each), np.cumsum(size) - 1
+            inner = np.delete(np.arange(len(flat)), last)
+            total[:cells] += np.bincount(flat[inner] * CLASSES + flat[inner + 1], np.repeat(n, size)[inner], cells)
+            total[cells : cells + CLASSES] += np.bincount(flat[last - size + 1], n, CLASSES)
+            total[cells + CLASSES :] += np.bincount(flat[last], n, CLASSES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["id", "n"])
+
+    got = words.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(cells + 2 * CLASSES)
+    total[got.column("id").to_numpy()] = got.column("n").to_numpy()
+    pairs, first, last = total[:cells].reshape(CLASSES, CLASSES), total[cells : cells + CLASSES] + 1e-3, total[cells + CLASSES :]
+    pairs = pairs + last[:, None] * (first / first.sum())
+    any_ = pairs.sum(0) + 1e-3
+    pairs = pairs + any_ / any_.sum()
+    return np.log(pairs / pairs.sum(1, keepdims=True))
 
 
 class Attention:
-    """One causal self-attention layer and one feed-forward layer, both with residuals, over classes."""
+    """One causal self-attention layer and one feed-forward layer, both with residuals, over classes; logits start from the counted pairs ``W``, which stay."""
 
-    def __init__(self, prior: np.ndarray, seed: int = 3):
+    def __init__(self, pairs: np.ndarray, seed: int = 3):
         random = np.random.default_rng(seed)
         d, draw = WIDTH, lambda *s: (random.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
         self.p = {
             "E": (random.standard_normal((CLASSES, d)) * 0.5).astype(np.float32), "P": (random.standard_normal((WINDOW, d)) * 0.1).astype(np.float32),
             "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": draw(d, d) * 0.5, "A": draw(d, 2 * d), "a": np.zeros(2 * d, np.float32), "B": draw(2 * d, d) * 0.5,
-            "U": draw(d, CLASSES) * 0.1, "u": prior.astype(np.float32),
+            "U": draw(d, CLASSES) * 0.1, "u": np.zeros(CLASSES, np.float32), "W": pairs.astype(np.float32),
         }
         self.ones = np.ones(CLASSES, np.float32)
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
@@ -129,8 +175,8 @@ class Attention:
         g = h + r @ p["B"]
         return e, q, k, v, s, c, h, r, g
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of each target's probability, for the targets after the context."""
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of each target's probability, and of that of any class of ``starts``, for the targets after the context."""
         p, b = self.p, len(x)
         e = p["E"][x] + p["P"]
         # One product for all three projections; scores and logits are small, so their exponentials need no shift.
@@ -144,16 +190,18 @@ class Attention:
         h = e[:, CONTEXT:].reshape(-1, WIDTH) + c.reshape(-1, WIDTH) @ p["O"]
         g = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]
         logits = np.column_stack([g, self.ones[:1].repeat(len(g))]) @ np.concatenate([p["U"], p["u"][None]])
+        logits += p["W"][x[:, CONTEXT:].ravel()]
         target = logits[np.arange(len(g)), y.ravel()].astype(np.float64)
         if np.abs(g).max() * np.abs(p["U"]).sum(0).max() + np.abs(p["u"]).max() > 80:
             top = logits.max(-1, keepdims=True)
             logits, target = logits - top, target - top[:, 0]
         np.exp(logits, out=logits)
-        return (target - np.log((logits @ self.ones).astype(np.float64))).reshape(y.shape)
+        sums = np.log((logits @ np.stack([self.ones, starts], axis=1)).astype(np.float64) + 1e-30)
+        return (target - sums[:, 0]).reshape(y.shape), (sums[:, 1] - sums[:, 0]).reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         p, (e, q, k, v, s, c, h, r, g) = self.p, self.forward(x)
-        z = g @ p["U"] + p["u"]
+        z = g @ p["U"] + p["u"] + p["W"][x]
         z -= z.max(-1, keepdims=True)
         z = np.exp(z)
         z /= z.sum(-1, keepdims=True)
@@ -208,19 +256,32 @@ class Adam:
 
 
 class Words:
-    """Class bytes, log10 of the ids' shares of their classes, and log10 of the base (None: to be joined) of each word."""
+    """Class bytes, log10 of the ids' shares of their classes, log10 of the base (None: to be joined) and weight by count of each word."""
 
-    def __init__(self, path: str, of: np.ndarray, share: np.ndarray, base: dict[str, float], limit: int = 250_000):
-        encoding = subwords(path)[0]
+    def __init__(self, path: str, of: np.ndarray, share: np.ndarray, base: dict[str, float], weight: Callable[[float], float], limit: int = 250_000):
+        encode, of_id, share_of = subwords(path)[0].encode_ordinary, of.tolist(), share.tolist()
 
-        def make(word: bytes) -> tuple[bytes, float, float | None]:
+        def make(word: bytes) -> tuple[bytes, float, float | None, float]:
             text = word.decode()
-            ids = encoding.encode_ordinary(" " + text)
-            return bytes(of[ids].tolist()), float(share[ids].sum()), base.get(text)
+            ids = encode(" " + text)
+            known = base.get(text)
+            return bytes([of_id[i] for i in ids]), sum([share_of[i] for i in ids]), known, 0.0 if known is None else weight(known)
 
         self.each = Bounded(make, limit)
 
 
+class Counted:
+    """How a word's count and its spelling share its probability: ``share`` of the discounted relative count; spelling has all the rest."""
+
+    def __init__(self, total: int, distinct: int, share: float = 0.4, discount: float = 0.75):
+        self.total, self.denominator, self.share, self.discount = total, total + distinct + 1, share, discount
+        self.spelt = 1 - share + share * discount * distinct / total if total else 1.0
+
+    def __call__(self, base: float) -> float:
+        n = 10.0**base * self.denominator - 1
+        return self.share * max(0.0, n - self.discount) / self.total if self.total else 0.0
+
+
 def training_windows(docs: DataFrame, words: int = 40) -> DataFrame:
     """One stretch of each text that is learnt from, at a place chosen by the text's hash; a line feed marks its start or end as the text's."""
 
@@ -243,13 +304,13 @@ def train(windows: DataFrame, model: Attention, words_args: tuple, rounds: int =
     one set of weights a round.
     """
     spark = windows.sparkSession
-    prior = np.zeros(CLASSES)
+    nothing = np.zeros((CLASSES, CLASSES))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((model.pack(), words_args))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate / (1 + r)) -> Iterator[pa.RecordBatch]:
             raw, args = sent.value
-            model, each = Attention(prior).unpack(raw), Words(*args).each
+            model, each = Attention(nothing).unpack(raw), Words(*args).each
             adam, held, seen, steps, kept = Adam(model, rate), [], 0, 0, []
 
             def update(rows: list[np.ndarray]) -> None:
@@ -306,8 +367,11 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     The base counts all training words; the counts of at most ``frequent`` words
     are broadcast, those of all others joined. The model predicts a class of
     subwords from the subwords before (attention over a window), and each
-    subword from its class by its share in the training texts; both are
-    normalised, so a text's score is the log10 of a probability. Every training
+    subword from its class by its share in the training texts. From these come
+    the probabilities of spelling a word and ending it. A word's probability is
+    0.4 of its discounted share of the training words (of the words that are
+    broadcast) and for the rest that of its spelling; all are normalised, so a
+    text's score is the log10 of a probability. Every training
     text is counted, and a stretch of each is learnt from. Windows overlap by 16
     tokens of context and score each token once. Defined results: a null text is
     empty and has one token, the end; a null doc_id is learnt from and isn't
@@ -332,23 +396,25 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
         row = counts.where("word = ''").first()
         end = math.log10(((row.n if row else 0) + 1) / denominator)
     pieces = subword_counts(counts, path)
-    of, share = classes_of(pieces)
-    prior = np.log(np.bincount(of, pieces, CLASSES) + 1.0)
-    args = (path, of, share, base)
+    of, share, starts = classes_of(pieces, starting_words(path))
+    counted = Counted(total, distinct)
+    args = (path, of, share, base, counted)
     windows, _ = materialise(training_windows(training(docs)), "windows")
-    model = train(windows, Attention(prior - prior.max()), args)
-    sent = spark.sparkContext.broadcast((model.pack(), args, end, total > 0))
+    model = train(windows, Attention(class_pairs(counts, path, of)), args)
+    sent = spark.sparkContext.broadcast((model.pack(), args, end, total > 0, starts, counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, args, end, known = sent.value
-        model, each = Attention(np.zeros(CLASSES)).unpack(raw), Words(*args).each
+        raw, args, end, known, starts, counted = sent.value
+        model, each = Attention(np.zeros((CLASSES, CLASSES))).unpack(raw), Words(*args).each
         for part in text_slices(batches, 500_000):
-            streams, sums, bases, sizes, rare = [], [], [], [], []
+            streams, shares, weights, spans, bases, sizes, rare = [], [], [], [], [], [], []
             for text in raw_bytes(part.column("text")):
                 words = text.lower().split()
                 got = [each[w] for w in words]
                 streams.append(b"".join([g[0] for g in got]))
-                sums.append(math.fsum(g[1] for g in got))
+                shares += [g[1] for g in got] + [0.0]
+                weights += [g[3] for g in got] + [counted(end)]
+                spans += [len(g[0]) for g in got] + [1]
                 bases.append(math.fsum(g[2] for g in got if g[2] is not None) + end)
                 others = Counter(w for w, g in zip(words, got, strict=True) if g[2] is None)
                 rare.append([{"word": w.decode(), "n": n} for w, n in others.items()])
@@ -363,16 +429,23 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
             owner = np.repeat(np.arange(len(streams)), windows)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             start = begin[owner] + number * STRIDE
-            score = np.array(sums)
+            target, opening = np.empty(int(length.sum())), np.empty(int(length.sum()))
+            token = np.cumsum(length) - length
             for a in range(0, len(owner), 32):
-                s = start[a : a + 32]
-                x = flat[s[:, None] + np.arange(WINDOW)]
-                y = flat[s[:, None] + np.arange(CONTEXT + 1, WINDOW + 1)]
-                log = model.log_probabilities(x, y)
-                inside = number[a : a + 32, None] * STRIDE + np.arange(STRIDE) < length[owner[a : a + 32]][:, None]
-                first = int(owner[a])
-                some = np.bincount(owner[a : a + 32] - first, (log * inside).sum(1)) / math.log(10)
-                score[first : first + len(some)] += some
+                at, own = start[a : a + 32], owner[a : a + 32]
+                inside = number[a : a + 32, None] * STRIDE + np.arange(STRIDE)
+                live = inside < length[own][:, None]
+                place = (token[own][:, None] + inside)[live]
+                log, starting = model.log_probabilities(flat[at[:, None] + np.arange(WINDOW)], flat[at[:, None] + np.arange(CONTEXT + 1, WINDOW + 1)], starts)
+                target[place], opening[place] = log[live], starting[live]
+            # A word is spelt by its subwords, given that one begins, and ends where the next begins; the end of a text closes it.
+            first = np.cumsum(spans) - spans
+            closing = np.append(opening[first[1:]], 0.0)
+            last = np.cumsum(sizes) - 1
+            closing[last] = 0.0
+            spelt = (np.add.reduceat(target, first) - opening[first] + closing) / math.log(10) + np.array(shares)
+            word = np.log10(np.array(weights) + counted.spelt * 10.0 ** np.maximum(spelt, -300.0))
+            score = np.add.reduceat(word, np.append(0, last[:-1] + 1))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([n - sum(r["n"] for r in x) if known else 0 for n, x in zip(sizes, rare, strict=True)], pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
                 names=["doc_id", "n_tokens", "known", "base", "score", "rare"],
