@@ -204,3 +204,31 @@ def test_lm_base_equals_brute_force_and_beats_noise(spark):
         assert math.isclose(x.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
         assert math.isfinite(x.score) and x.score <= 0
     assert lm_scoring.score_texts(empty(spark)).count() == 0
+
+
+def test_changed_words_link_lines(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 7)))
+    lines = [[word() for _ in range(n)] for n in (7, 9, 12, 15, 20, 30, 50, 90) for _ in range(12)]
+    texts = [" ".join(w) for w in lines]
+    for w in lines:
+        at = min(range(len(w)), key=lambda i: len(w[i]))
+        texts.append(" ".join([*w[:at], "xyzzy", *w[at + 1 :]]))
+    n = len(lines)
+    want = {n + i for i in range(n) if line_dedup.similar(texts[i], texts[n + i], 0.8)}
+    got = {x.doc_id for x in line_dedup.repeated_lines(table(spark, texts, False)).collect()}
+    assert len(want) > 80 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_line_groups_equal_brute_force():
+    r = random.Random(13)
+    lines = ["".join(r.choice("abc ") for _ in range(r.randint(3, 40))) for _ in range(60)]
+    lines += [x[:k] + "z" + x[k:] for x in lines for k in (2,)] + [x[1:] for x in lines]
+    lines = sorted({" ".join(x.split()) for x in lines} - {""}, key=len)
+    group = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if group[i] != group[j] and line_dedup.edit_distance(x, lines[j], 99) <= 0.2 * max(len(x), len(lines[j])) + 1e-9:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert line_dedup.alike(lines, 0.8).tolist() == group
