@@ -12,7 +12,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,22 +281,29 @@ class Counted:
         return self.share * max(0.0, n - self.discount) / self.total if self.total else 0.0
 
 
-def training_windows(docs: DataFrame, words: int = 40) -> DataFrame:
-    """One stretch of each text that is learnt from, at a place chosen by the text's hash; a line feed marks its start or end as the text's."""
+def training_windows(docs: DataFrame, words_args: tuple) -> DataFrame:
+    """Each training text's classes in windows as in scoring: it follows a context of ends, windows overlap by the context, and all of it lies in some window's targets, the end too.
+
+    ``window`` holds the WINDOW inputs and the last target; ``n`` is how many classes after the context are the text's.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(words_args)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            out = []
+        each = Words(*sent.value).each
+        for part in text_slices(batches, 500_000):
+            out, n = [], []
             for raw in raw_bytes(part.column("text")):
-                w, h = raw.lower().split(), xxhash.xxh64_intdigest(raw)
-                at = 0 if h >> 32 & 7 == 0 or not w else h % len(w)
-                out.append((b"\n" if at == 0 else b"") + b" ".join(w[at : at + words]) + (b"\n" if at + words >= len(w) else b""))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["stretch"])
+                body = b"".join([each[w][0] for w in raw.lower().split()])
+                room = bytes([END]) * (CONTEXT + 1) + body + bytes([END]) * (STRIDE + 1)
+                for a in range(0, len(body) + 1, STRIDE):
+                    out.append(room[a : a + WINDOW + 1].ljust(WINDOW + 1, bytes([END])))
+                    n.append(min(STRIDE, len(body) + 1 - a))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n, pa.int32())], names=["window", "n"])
 
-    return docs.select("text").mapInArrow(run, "stretch binary")
+    return docs.select("text").mapInArrow(run, "window binary, n int")
 
 
-def train(windows: DataFrame, model: Attention, words_args: tuple, rounds: int = 2, batch: int = 32, rate: float = 5e-3) -> Attention:
+def train(windows: DataFrame, model: Attention, rounds: int = 2, batch: int = 32, rate: float = 5e-3) -> Attention:
     """Local training on all partitions, then the weighted mean of their weights; ``rounds`` times.
 
     All windows are learnt from, each where it is. What goes to the driver is
@@ -306,28 +312,21 @@ def train(windows: DataFrame, model: Attention, words_args: tuple, rounds: int =
     spark = windows.sparkSession
     nothing = np.zeros((CLASSES, CLASSES))
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((model.pack(), words_args))
+        sent = spark.sparkContext.broadcast(model.pack())
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate / (1 + r)) -> Iterator[pa.RecordBatch]:
-            raw, args = sent.value
-            model, each = Attention(nothing).unpack(raw), Words(*args).each
+            model = Attention(nothing).unpack(sent.value)
             adam, held, seen, steps, kept = Adam(model, rate), [], 0, 0, []
 
-            def update(rows: list[np.ndarray]) -> None:
-                x = np.full((len(rows), WINDOW + 1), END)
-                live = np.zeros((len(rows), WINDOW), np.float32)
-                for i, row in enumerate(rows):
-                    x[i, : len(row)] = row
-                    live[i, : len(row) - 1] = 1
-                adam.step(model.gradients(x[:, :-1], x[:, 1:], live)[0])
+            def update(rows: list[tuple[bytes, int]]) -> None:
+                x = np.frombuffer(b"".join([r for r, _ in rows]), np.uint8).reshape(len(rows), WINDOW + 1).astype(np.int64)
+                live = (np.arange(WINDOW) >= CONTEXT) & (np.arange(WINDOW) < CONTEXT + np.array([n for _, n in rows])[:, None])
+                adam.step(model.gradients(x[:, :-1], x[:, 1:], live.astype(np.float32))[0])
 
             for b in batches:
-                for s in b.column("stretch").to_pylist():
-                    body = b"".join(each[w][0] for w in s.split())
-                    row = np.frombuffer((bytes([END] * (CONTEXT + 1)) if s[:1] == b"\n" else b"") + body + (bytes([END]) if s[-1:] == b"\n" else b""), np.uint8)[: WINDOW + 1]
-                    if len(row) > 1:
-                        held.append(row)
-                        seen += 1
+                for row in zip(b.column("window").to_pylist(), b.column("n").to_pylist(), strict=True):
+                    held.append(row)
+                    seen += 1
                     if len(held) == batch:
                         update(held)
                         steps += 1
@@ -372,7 +371,7 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     0.4 of its discounted share of the training words (of the words that are
     broadcast) and for the rest that of its spelling; all are normalised, so a
     text's score is the log10 of a probability. Every training
-    text is counted, and a stretch of each is learnt from. Windows overlap by 16
+    text is counted and learnt from, whole. Windows overlap by 16
     tokens of context and score each token once. Defined results: a null text is
     empty and has one token, the end; a null doc_id is learnt from and isn't
     held out; repeated rows stay and count; an empty table gives no rows; other
@@ -399,8 +398,8 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     of, share, starts = classes_of(pieces, starting_words(path))
     counted = Counted(total, distinct)
     args = (path, of, share, base, counted)
-    windows, _ = materialise(training_windows(training(docs)), "windows")
-    model = train(windows, Attention(class_pairs(counts, path, of)), args)
+    windows, _ = materialise(training_windows(training(docs), args), "windows")
+    model = train(windows, Attention(class_pairs(counts, path, of)))
     sent = spark.sparkContext.broadcast((model.pack(), args, end, total > 0, starts, counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

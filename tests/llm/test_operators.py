@@ -232,3 +232,21 @@ def test_line_groups_equal_brute_force():
                 low, high = sorted((group[i], group[j]))
                 group = [low if g == high else g for g in group]
     assert line_dedup.alike(lines, 0.8).tolist() == group
+
+
+def test_lm_learns_from_whole_texts(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((0, 1, 30, 700))]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding, size = lm_scoring.subwords(path)
+    of = np.arange(size) % lm_scoring.END
+    args = (path, of, np.zeros(size), {}, lm_scoring.Counted(1, 1))
+    rows = lm_scoring.training_windows(table(spark, texts, False), args).collect()
+    want = collections.Counter()
+    for t in texts:
+        want.update(c for w in t.split() for c in of[encoding.encode_ordinary(" " + w)].tolist())
+        want[lm_scoring.END] += 1
+    got = collections.Counter()
+    for r in rows:
+        assert len(r.window) == lm_scoring.WINDOW + 1
+        got.update(r.window[lm_scoring.CONTEXT + 1 : lm_scoring.CONTEXT + 1 + r.n])
+    assert got == want
