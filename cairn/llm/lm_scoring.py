@@ -368,8 +368,7 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     subwords from the subwords before (attention over a window), and each
     subword from its class by its share in the training texts. From these come
     the probabilities of spelling a word and ending it. A word's probability is
-    0.4 of its discounted share of the training words (of the words that are
-    broadcast) and for the rest that of its spelling; all are normalised, so a
+    0.4 of its discounted share of the training words and for the rest that of its spelling; all are normalised, so a
     text's score is the log10 of a probability. Every training
     text is counted and learnt from, whole. Windows overlap by 16
     tokens of context and score each token once. Defined results: a null text is
@@ -406,7 +405,7 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
         raw, args, end, known, starts, counted = sent.value
         model, each = Attention(np.zeros((CLASSES, CLASSES))).unpack(raw), Words(*args).each
         for part in text_slices(batches, 500_000):
-            streams, shares, weights, spans, bases, sizes, rare = [], [], [], [], [], [], []
+            streams, shares, weights, spans, bases, sizes, rare, sum_of_sizes = [], [], [], [], [], [], [], 0
             for text in raw_bytes(part.column("text")):
                 words = text.lower().split()
                 got = [each[w] for w in words]
@@ -415,8 +414,12 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
                 weights += [g[3] for g in got] + [counted(end)]
                 spans += [len(g[0]) for g in got] + [1]
                 bases.append(math.fsum(g[2] for g in got if g[2] is not None) + end)
-                others = Counter(w for w, g in zip(words, got, strict=True) if g[2] is None)
-                rare.append([{"word": w.decode(), "n": n} for w, n in others.items()])
+                others: dict[bytes, list[int]] = {}
+                for k, (w, g) in enumerate(zip(words, got, strict=True)):
+                    if g[2] is None:
+                        others.setdefault(w, []).append(k + sum_of_sizes)
+                rare.append(others)
+                sum_of_sizes += len(words) + 1
                 sizes.append(len(words) + 1)
             length = np.array([len(s) + 1 for s in streams])
             windows = -(-length // STRIDE)
@@ -444,20 +447,28 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
             closing[last] = 0.0
             spelt = (np.add.reduceat(target, first) - opening[first] + closing) / math.log(10) + np.array(shares)
             word = np.log10(np.array(weights) + counted.spelt * 10.0 ** np.maximum(spelt, -300.0))
+            for x in rare:  # their counts are joined below
+                for at in x.values():
+                    word[at] = 0.0
             score = np.add.reduceat(word, np.append(0, last[:-1] + 1))
+            spelt = np.maximum(spelt, -300.0)
+            missing = [sum(map(len, x.values())) for x in rare]
+            rare = [[{"word": w.decode(), "spelt": spelt[at].tolist()} for w, at in x.items()] for x in rare]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([n - sum(r["n"] for r in x) if known else 0 for n, x in zip(sizes, rare, strict=True)], pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([n - m if known else 0 for n, m in zip(sizes, missing, strict=True)], pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("spelt", pa.list_(pa.float64()))])))],
                 names=["doc_id", "n_tokens", "known", "base", "score", "rare"],
             )
 
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:string,n:long>>"
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:string,spelt:array<double>>>"
     scored, _ = materialise(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.inline("rare").alias("word", "times"))
+    rare = scored.select("row", F.inline("rare").alias("word", "spelt"))
     joined = rare.join(counts, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    c, times = F.coalesce("n", F.lit(0)), F.size("spelt")
+    weight = F.lit(counted.share) * F.greatest(F.lit(0.0), c - counted.discount) / F.lit(float(max(total, 1)))
+    own = F.aggregate("spelt", F.lit(0.0), lambda sum_, x: sum_ + F.log10(weight + F.lit(counted.spelt) * F.pow(F.lit(10.0), x)))
+    rest = joined.groupBy("row").agg(F.sum(times * F.log10((c + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"), F.sum(own).alias("more_score"))
     out = scored.join(rest, "row", "left")
-    return out.select("doc_id", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,3 +250,12 @@ def test_lm_learns_from_whole_texts(spark):
         assert len(r.window) == lm_scoring.WINDOW + 1
         got.update(r.window[lm_scoring.CONTEXT + 1 : lm_scoring.CONTEXT + 1 + r.n])
     assert got == want
+
+
+def test_lm_score_keeps_the_counts_of_rare_words(spark):
+    r = random.Random(14)
+    texts = [" ".join(r.choice(["the", "cat", "sat", f"w{r.randint(0, 30)}", f"rare{i}"]) for _ in range(r.randint(5, 40))) for i in range(60)]
+    docs = table(spark, texts, False)
+    few, all_ = ({x.doc_id: x for x in lm_scoring.score_texts(docs, frequent=n).collect()} for n in (3, 100_000))
+    for i, x in all_.items():
+        assert math.isclose(few[i].score, x.score, rel_tol=1e-6) and few[i].n_known == x.n_known
