@@ -259,3 +259,13 @@ def test_lm_score_keeps_the_counts_of_rare_words(spark):
     few, all_ = ({x.doc_id: x for x in lm_scoring.score_texts(docs, frequent=n).collect()} for n in (3, 100_000))
     for i, x in all_.items():
         assert math.isclose(few[i].score, x.score, rel_tol=1e-6) and few[i].n_known == x.n_known
+
+
+def test_short_license_notices_inside_prose(spark):
+    r = random.Random(15)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghinorst") for _ in range(6)) for _ in range(n))
+    notices = {"MIT": "Released under the MIT License.", "BSD-3-Clause": "Released under the BSD 3-Clause License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    want = [(k, t) for k, t in notices.items() for _ in range(5)]
+    texts = [f"{prose(n)}. {t} {prose(n)}" for n in (30, 60, 150) for _, t in want] + ["Released under the Foo License."]
+    got = {(x.doc_id, x.license) for x in license_scan.licenses(table(spark, texts, False)).collect()}
+    assert got == {(i, want[i % len(want)][0]) for i in range(3 * len(want))}
