@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -269,3 +270,11 @@ def test_short_license_notices_inside_prose(spark):
     texts = [f"{prose(n)}. {t} {prose(n)}" for n in (30, 60, 150) for _, t in want] + ["Released under the Foo License."]
     got = {(x.doc_id, x.license) for x in license_scan.licenses(table(spark, texts, False)).collect()}
     assert got == {(i, want[i % len(want)][0]) for i in range(3 * len(want))}
+
+
+def test_wrapped_and_neighbouring_licenses(spark):
+    full = {k: t for k, t in license_scan.TEMPLATES if t.startswith(("Permission is", "Redistribution and"))}
+    wrapped = ["\n".join(f" * {x}" for x in textwrap.wrap(t, 60)) for t in full.values()]
+    texts = [*wrapped, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "word " * 400 + wrapped[0]]
+    got = sorted((x.doc_id, x.license) for x in license_scan.licenses(table(spark, texts, False)).collect())
+    assert got == [(0, "MIT"), (1, "BSD-3-Clause"), (2, "Apache-2.0"), (2, "MIT"), (3, "MIT")]
