@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import Bounded, raw_bytes, table, text_slices
 
 EDGES = b".,;:!?|()[]{}<>\"'`*_-#"
-#: Five tokens next to each other, or five of six with one ignored inside. If at
+#: For items of at least 13 tokens: five tokens next to each other, or five of six with one ignored inside. If at
 #: most a fifth of an overlap's tokens are replaced, some six neighbours hold
-#: one replaced token at most, so a mask hits.
+#: one replaced token at most, so a mask hits. Shorter items have a run of their own
+#: length, see ``short_run``.
 MASKS = [(0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5)]
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 BLOCK_BYTES = 16_000_000
@@ -47,6 +48,12 @@ def masked(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return total * FACTORS[0]
 
 
+def short_run(tokens: int, similarity: float) -> int:
+    """Tokens next to each other that stay equal somewhere in a short item, wherever the replaced ones are (pigeonhole); five at most."""
+    replaced = int((1 - similarity) * tokens + 1e-9)
+    return min(5, -(-(tokens - replaced) // (replaced + 1)))
+
+
 class SeedIndex:
     """Masked hashes of one block of test items."""
 
@@ -55,8 +62,14 @@ class SeedIndex:
         h, size = token_hashes(texts)
         self.items = np.split(h, np.cumsum(size)[:-1]) if len(texts) else []
         code, item, place = [], [], []
+        self.masks = set()
         for i, x in enumerate(self.items):
-            for number, mask in enumerate(MASKS):
+            short = min(overlap, len(x)) < 13
+            run = short_run(min(overlap, len(x)), similarity)
+            if run < 1:
+                continue
+            for number, mask in [(len(MASKS) + run, tuple(range(run)))] if short else enumerate(MASKS):
+                self.masks.add((number, mask))
                 c = masked(x, mask, number)
                 code.append(c)
                 item.append(np.full(len(c), i))
@@ -75,7 +88,7 @@ class SeedIndex:
         ends = np.cumsum(size)
         owner = np.repeat(np.arange(len(texts)), size)
         found = []
-        for number, mask in enumerate(MASKS):
+        for number, mask in sorted(self.masks):
             c = masked(h, mask, number)
             at = np.flatnonzero(self.seen[(c >> np.uint64(44)).astype(np.int64)])
             at = at[owner[at] == owner[at + mask[-1]]]
@@ -84,6 +97,8 @@ class SeedIndex:
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(at, n)
             found.append(np.stack([owner[at], self.item[which], at - self.place[which]], axis=1))
+        if not found:
+            return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, shift in np.unique(np.concatenate(found), axis=0).tolist():
             tokens = self.items[item]
@@ -97,7 +112,7 @@ class SeedIndex:
 
 
 def best_run(equal: np.ndarray, similarity: float) -> tuple[int, int]:
-    """The longest stretch (first on ties) in which at least ``similarity`` of the tokens are equal, and its ends are."""
+    """The longest stretch (first on ties) in which at least ``similarity`` of the tokens are equal."""
     score = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
     low = np.minimum.accumulate(score)
     longest = (0, 0)
@@ -106,11 +121,7 @@ def best_run(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     for e in range(j, 0, -1):
         if e <= longest[1] - longest[0]:
             break
-        if not equal[e - 1]:
-            continue
         s = int(np.searchsorted(-low, -(score[e] + 1e-9), "left"))
-        while s < e and not equal[s]:
-            s += 1
         if e - s > longest[1] - longest[0] or e - s == longest[1] - longest[0] and s < longest[0]:
             longest = (s, e)
     return longest
@@ -133,8 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarit
     them, if it has fewer), aligned with the document's, of which at least
     ``similarity`` are equal. The longest of a pair is reported. All documents
     are run against all items, in blocks of items. Defined results: null and
-    empty texts overlap with nothing; so do items of fewer than five tokens,
-    which no mask fits; null ids stay, repeated rows too; an empty table on
+    empty texts overlap with nothing; so do items without tokens; null ids stay, repeated rows too; an empty table on
     either side gives no rows; other columns are not read.
     """
     found = None

@@ -278,3 +278,17 @@ def test_wrapped_and_neighbouring_licenses(spark):
     texts = [*wrapped, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "word " * 400 + wrapped[0]]
     got = sorted((x.doc_id, x.license) for x in license_scan.licenses(table(spark, texts, False)).collect())
     assert got == [(0, "MIT"), (1, "BSD-3-Clause"), (2, "Apache-2.0"), (2, "MIT"), (3, "MIT")]
+
+
+def test_decontamination_finds_replaced_ends_and_short_items(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (1, 3, 5, 7, 10, 12, 13, 14, 15, 20)]
+    bench = spark.createDataFrame([(len(w), " ".join(w)) for w in items], "item_id long, text string")
+    places = {5: [(0,), (2,), (4,)], 7: [(0,), (3,)], 10: [(4, 5), (0, 9)], 12: [(0, 11), (4, 8)], 13: [(0, 12), (4, 8)], 14: [(0, 13)], 15: [(0, 1, 14), (3, 7, 11)]}
+    texts, want = [], set()
+    for w in items:
+        for out in [(), *places.get(len(w), [])]:
+            want.add((len(texts), len(w)))
+            texts.append(" ".join(["before", *["other" if k in out else x for k, x in enumerate(w)], "after"]))
+    texts.append(" ".join("other" if k in (0, 3, 6) else x for k, x in enumerate(items[4])))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(table(spark, texts, False), bench).collect()}
+    assert got == want
