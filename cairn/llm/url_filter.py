@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import materialise, table
 
 #: (rule as host and path, verdict).
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -41,7 +41,7 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def lexical(url: str | None, host: str, path: str, suffixes: dict[str, float]) -> list[float]:
+def lexical(url: str | None, host: str, path: str, shares: tuple[float, ...]) -> list[float]:
     """Lengths, depth, digit ratio, entropies, numbers of parameters and marks, and how often the host's suffixes are blocked."""
     url = url or ""
     query = url.partition("?")[2].partition("#")[0]
@@ -51,7 +51,7 @@ def lexical(url: str | None, host: str, path: str, suffixes: dict[str, float]) -
         sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
         entropy(url), entropy(host), len(query.split("&")) if query else 0, "#" in url, url.startswith("https"),
         host.count("-"), path.count("-") + path.count("_"), len(path.strip("/").partition("/")[0]), len(path.rpartition(".")[2]) if "." in path else 0,
-        suffixes.get(labels[-1], 0.5), suffixes.get(".".join(labels[-2:]), 0.5), suffixes.get(path.strip("/").partition("/")[0], 0.5),
+        *shares,
     ]
 
 
@@ -121,13 +121,28 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
+#: How often the last label of the host, its last two, and the path's first part are blocked.
+SHARES = ("last_share", "domain_share", "part_share")
+
+
+def with_shares(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the columns ``SHARES``, from all of ``known`` (``host``, ``path``, ``y``); 0.5 for suffixes that it lacks."""
+    labels = F.split("host", r"\.")
+    keys = [F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.split_part(F.ltrim(F.col("path"), F.lit("/")), F.lit("/"), F.lit(1))]
+    counts = known.select("y", F.explode(F.array_distinct(F.array(*keys))).alias("key")).groupBy("key").agg(((F.sum("y") + 1) / (F.count("y") + 2)).alias("share"))
+    counts, _ = materialise(counts, "suffixes")
+    for name, key in zip(SHARES, keys, strict=True):
+        rows = rows.withColumn("__key", key).join(counts.select(F.col("key").alias("__key"), F.col("share").alias(name)), "__key", "left").drop("__key").fillna(0.5, [name])
+    return rows
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (of the trees: 1 is block) of each row.
 
     The rules judge the URLs that they fit. The others get the verdict of the
     trees, which learn from URLs that the rules label, at most ``sample`` of
     them, chosen by hash; how often each suffix is blocked is counted over all
-    labelled rows and kept for the 1,000 most frequent ones. Defined results:
+    labelled rows and joined, whatever the number of suffixes. Defined results:
     null and other URLs without ``://`` have an empty host and path and no rule,
     and go to the trees as empty; without any labelled URL the score is 0.5 and
     the verdict allow; a null page_id and repeated rows stay; an empty table
@@ -140,22 +155,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, sample: i
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
     known = rows.where("rule is not null").select("url", "host", "path", blocked.cast("int").alias("y"))
-    labels = F.split("host", r"\.")
-    keys = F.array(F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.split_part(F.ltrim(F.col("path"), F.lit("/")), F.lit("/"), F.lit(1)))
-    counts = known.select("y", F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.sum("y").alias("n1"), F.count("y").alias("n"))
-    suffixes = {r.key: (r.n1 + 1) / (r.n + 2) for r in counts.orderBy(F.desc("n"), "key").limit(1000).collect()}
-    got = known.orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
-    x = np.array([lexical(r.url, r.host, r.path, suffixes) for r in got], float) if got else np.empty((0, 1))
-    sent = spark.sparkContext.broadcast((Trees().fit(x, np.array([r.y for r in got], float)), suffixes))
+    rows = with_shares(rows, known)
+    got = rows.where("rule is not null").withColumn("y", blocked.cast("int")).orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
+    x = np.array([lexical(r.url, r.host, r.path, [r[c] for c in SHARES]) for r in got], float) if got else np.empty((0, 1))
+    sent = spark.sparkContext.broadcast(Trees().fit(x, np.array([r.y for r in got], float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, suffixes = sent.value
+        trees = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            each = zip(*(b.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)
-            score = trees.probability(np.array([lexical(*r, suffixes) for r in each], float))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
+            each = zip(*(b.column(c).to_pylist() for c in ("url", "host", "path", *SHARES)), strict=True)
+            score = trees.probability(np.array([lexical(*r[:3], r[3:]) for r in each], float))
+            names = ["page_id", "url", "host", "path", "rule"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
     scored = rows.mapInArrow(run, "page_id long, url string, host string, path string, rule string, score double")
     by_rule = F.col("rule").isin([r for r, v in rules if v == "block"])

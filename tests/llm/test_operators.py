@@ -292,3 +292,12 @@ def test_decontamination_finds_replaced_ends_and_short_items(spark):
     texts.append(" ".join("other" if k in (0, 3, 6) else x for k, x in enumerate(items[4])))
     got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(table(spark, texts, False), bench).collect()}
     assert got == want
+
+
+def test_url_shares_of_many_suffixes(spark):
+    known = spark.createDataFrame([(f"h{i}.com", "/en/", i % 2) for i in range(1500)], "host string, path string, y int")
+    rows = spark.createDataFrame([(i, f"a.h{i}.com", "/xx") for i in range(1501)], "page_id long, host string, path string")
+    got = {r.page_id: r for r in url_filter.with_shares(rows, known).collect()}
+    assert len(got) == 1501
+    assert all(math.isclose(got[i].domain_share, (1 + i % 2) / 3) for i in range(1500))
+    assert (got[1500].domain_share, got[0].last_share, got[0].part_share) == (0.5, 751 / 1502, 0.5)
