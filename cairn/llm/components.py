@@ -8,34 +8,50 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import discard, materialise
 
+#: A node with over one edge in so many (and this many at least) is a hub; there are at most twice as many hubs.
+HUB_SHARE, HUB_LEAST = 500, 100
+
+
+def with_least(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
+    """``rows`` with ``m``, the smallest ``value`` of the row's ``key``.
+
+    Minima are aggregated before the shuffle. Those of hubs, at most 2 *
+    HUB_SHARE, are sent to all tasks, so a hub's rows stay where they are; all
+    other keys have few rows each and are joined.
+    """
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+    found = least.where(F.col("n") > max(HUB_LEAST, 2 * size // HUB_SHARE)).select(key, "m").collect()
+    if not found:
+        return rows.join(least.drop("n"), key)
+    hubs = F.broadcast(rows.sparkSession.createDataFrame(found, least.select(key, "m").schema))
+    apart = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(apart.join(least.drop("n"), key))
+
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``edges(a, b)`` -> ``(node, root)``: each node that has an edge to another, with the smallest node it reaches.
 
     Alternates large-star and small-star steps (each node's neighbours are
-    hooked to the smallest of them) until the edges are stars. Minima are
-    aggregated before the shuffle, so a hub costs one row per task, and the
-    joins are plain equi-joins whose hot side adaptive execution splits. No
-    neighbourhood is ever gathered in one place. Edges with a null end and
+    hooked to the smallest of them) until the edges are stars. No neighbourhood
+    is ever gathered in one place (``with_least``). Edges with a null end and
     loops are dropped; no edges give no rows.
     """
     spark = edges.sparkSession
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     now, path = materialise(edges.where("a is not null and b is not null and a <> b").select(lo.alias("lo"), hi.alias("hi")).distinct(), label)
-    seen = None
-    while True:
+    size, seen = now.count(), None
+    while size:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and m < v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct("m", F.col("lo").alias("v")), F.struct("m", F.col("hi").alias("v")))).alias("e"))
+        stars = with_least(both, "u", "v", size).select("v", F.least("u", "m").alias("lo"), "u")
+        large, large_path = materialise(stars.where("v > u and lo < v").select("lo", F.col("v").alias("hi")).distinct(), label)
+        small = with_least(large, "hi", "lo", size).select(F.explode(F.array(F.struct("m", F.col("lo").alias("v")), F.struct("m", F.col("hi").alias("v")))).alias("e"))
         after, new_path = materialise(small.where("e.m < e.v").select(F.col("e.m").alias("lo"), F.col("e.v").alias("hi")).distinct(), label)
         # A round changed nothing if the edge set is the same: compared by size and two sums of hashes.
         h = F.xxhash64("lo", "hi")
         mark = after.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
-        discard(spark, path)
-        now, path = after, new_path
-        if mark == seen or mark[0] == 0:
+        discard(spark, path, large_path)
+        now, path, size = after, new_path, mark[0]
+        if mark == seen:
             break
         seen = mark
     roots = now.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,10 @@ from cairn.llm.common import materialise, spread
 from cairn.llm.components import merge_labels
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: So few values are compared with each other directly; a tree over them costs more.
-FEW = 16
+#: Children of a node. A tree over so few values is its leaves only, which are compared one by one.
+FANOUT = 16
+#: Values that share a slot, about, and values that a task holds before it passes crowded blocks on.
+SLOT, HELD = 400_000, 3_000_000
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -33,7 +35,7 @@ class GrayIndex:
     and leaves a whole group as soon as the sum exceeds the distance.
     """
 
-    def __init__(self, values: np.ndarray, fanout: int = 16):
+    def __init__(self, values: np.ndarray, fanout: int = FANOUT):
         self.order = np.argsort(gray_rank(values), kind="stable")
         self.leaves, self.fanout = values[self.order], fanout
         mask, pattern = np.full(len(values), ONES), self.leaves
@@ -75,49 +77,15 @@ class GrayIndex:
                 yield q, node
 
 
-def linked(values: np.ndarray, distance: int, agree: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """Label (smallest index) of each value's connected group; ``agree`` confirms pairs that are near and not yet connected."""
+def linked(values: np.ndarray, distance: int) -> np.ndarray:
+    """Label (smallest index) of each value's connected group."""
     labels = np.arange(len(values))
     if len(values) < 2:
         return labels
-    if agree is not None and len(values) <= FEW:
-        each, parent = values.tolist(), labels.tolist()
-        for i, x in enumerate(each):
-            for j in range(i):
-                if parent[i] != parent[j] and (x ^ each[j]).bit_count() <= distance and agree(i, j):
-                    low, high = sorted((parent[i], parent[j]))
-                    parent = [low if r == high else r for r in parent]
-        return np.array(parent)
     index = GrayIndex(values)
-    if agree is None:
-        for i, j in index.pairs(distance):
-            merge_labels(labels, index.order[i], index.order[j])
-        return labels
-    parent = labels.tolist()
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in zip(index.order[i].tolist(), index.order[j].tolist(), strict=True):
-            a_root, b_root = root(a), root(b)
-            if a_root != b_root and agree(a, b):
-                parent[max(a_root, b_root)] = min(a_root, b_root)
-
-    # Neighbours in Gray order first: that connects dense groups with one check for each value.
-    near = np.flatnonzero(np.bitwise_count(index.leaves[1:] ^ index.leaves[:-1]) <= distance)
-    join(near, near + 1)
-    # Links inside the largest group add nothing; all others have an end outside it.
-    labels = np.array([root(x) for x in range(len(parent))])
-    outside = np.flatnonzero(labels[index.order] != np.bincount(labels).argmax())
-    for i, j in index.pairs(distance, outside):
-        labels = np.array([root(x) for x in range(len(parent))])
-        apart = labels[index.order[i]] != labels[index.order[j]]
-        join(i[apart], j[apart])
-    return np.array([root(x) for x in range(len(parent))])
+    for i, j in index.pairs(distance):
+        merge_labels(labels, index.order[i], index.order[j])
+    return labels
 
 
 def first_masks(distance: int) -> list[int]:
@@ -130,123 +98,127 @@ def split_bits(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def finer_masks(mask: int, distance: int) -> list[int]:
     """For a block that too many values share: the same block and one of the parts of the rest."""
     return [mask | m for m in split_bits([b for b in range(64) if not mask >> b & 1], distance + 1)]
 
 
-def segments(batches: Iterator[pa.RecordBatch], masks: list[int], most: int) -> Iterator[tuple[int, pa.Table, bool]]:
-    """Runs of rows that share a block, from batches sorted by (mask, block): mask number, rows, and whether the run is part of one longer than ``most``.
+def slots_of(fp: np.ndarray, mask: int, number: int, slots: int) -> np.ndarray:
+    """Slot of each value: the same for values that agree on the mask."""
+    h = (fp & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return number * slots + ((h >> np.uint64(33)) % np.uint64(slots)).astype(np.int64)
 
-    A run longer than ``most`` is passed on in pieces, so memory is bounded.
-    Runs of one row are left out where a batch shows them to be whole.
-    """
-    table_of = np.array(masks, dtype=np.uint64)
-    held: list[pa.Table] = []
-    held_key, held_rows, over = None, 0, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kind = batch.column("mask").to_numpy(zero_copy_only=False).astype(np.int64)
-        block = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64) & table_of[kind]
-        cut = np.flatnonzero((kind[1:] != kind[:-1]) | (block[1:] != block[:-1])) + 1
-        bounds = np.concatenate([[0], cut, [batch.num_rows]])
-        rows = pa.Table.from_batches([batch])
-        # Single rows have no partner; only the first and last run of a batch may go on in another.
-        runs = np.flatnonzero(np.diff(bounds) > 1)
-        runs = np.union1d(runs, [0, len(bounds) - 2])
-        for a, z in zip(bounds[runs].tolist(), bounds[runs + 1].tolist(), strict=True):
-            key = (int(kind[a]), int(block[a]))
-            if key != held_key:
-                if held:
-                    yield held_key[0], pa.concat_tables(held), over
-                held, held_key, held_rows, over = [], key, 0, False
-            held.append(rows.slice(a, z - a))
-            held_rows += z - a
-            if held_rows > most:
-                over = True
-                yield key[0], pa.concat_tables(held), True
-                held, held_rows = [], 0
-    if held:
-        yield held_key[0], pa.concat_tables(held), over
 
+def packed_by_slot(slot: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """Each slot that occurs, with its values of each column as bytes."""
+    order = np.argsort(slot, kind="stable")
+    slot, columns = slot[order], [c[order] for c in columns]
+    bounds = np.concatenate([np.flatnonzero(np.diff(slot, prepend=-1)), [len(slot)]])
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(slot[a]), [c[a:z].tobytes() for c in columns]
 
-def by_blocks(rows: DataFrame, masks: list[int], numbers: DataFrame | None = None) -> DataFrame:
-    """Deal rows with ``fp`` (and, for finer blocks, ``mask`` numbers) so that those sharing a block are adjacent."""
-    if numbers is None:
-        rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])))
-    value = F.element_at(F.array(*[F.lit(signed(m)) for m in masks]), F.col("mask") + 1)
-    block = F.col("fp").bitwiseAND(value)
-    return rows.repartition(spread(rows), F.col("mask"), block).sortWithinPartitions(F.col("mask"), block)
 
+def by_slots(rows: DataFrame, masks: list[int], slots: int, own_mask: bool, held: int = 1 << 19) -> DataFrame:
+    """``slot`` and packed ``fps``: rows for the shuffle that hold many fingerprints each, dealt and sorted by slot.
 
-def small_runs(batches: Iterator[pa.RecordBatch], masks: list[int], distance: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Edges of each run of values that share a block; runs longer than ``most`` are passed on as they are."""
-    table_of = np.array(masks, dtype=np.uint64)
-    none = np.empty(0, np.int64)
-    held, held_key, over = none, None, False
+    Without ``own_mask`` each value goes to one slot for every mask, else to that of its column ``mask``.
+    """
 
-    def edges(fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(near), pa.array(np.zeros(len(fp), bool))], names=["a", "b", "over"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            slot = np.concatenate([s for s, _ in kept])
+            got = list(packed_by_slot(slot, np.concatenate([f for _, f in kept])))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int64()), pa.array([c[0] for _, c in got], pa.binary())], names=["slot", "fps"])
+
+        for b in batches:
+            fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            own = b.column("mask").to_numpy(zero_copy_only=False) if own_mask else None
+            for k, m in enumerate(masks):
+                some = fp[own == k] if own_mask else fp
+                if len(some):
+                    kept.append((slots_of(some, m, k, slots), some))
+                    n += len(some)
+            if n >= held:
+                yield out()
+                kept, n = [], 0
+        if n:
+            yield out()
+
+    parts = spread(rows)
+    return rows.mapInArrow(run, "slot long, fps binary").repartition(parts, "slot").sortWithinPartitions("slot")
+
+
+def search_slots(batches: Iterator[pa.RecordBatch], masks: list[int], slots: int, distance: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Edges of all runs of values that share a block; the values of runs longer than ``most`` are passed on with their mask's number.
+
+    A task holds one slot at a time. If crowded blocks make it too much, their
+    values are passed on before the slot's end, and later ones as they come.
+    """
 
-    def passed_on(fp: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.full(len(fp), kind, np.int64)), pa.array(np.ones(len(fp), bool))], names=["a", "b", "over"])
+    def rows(a: np.ndarray, b: np.ndarray, over: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
 
-    def large(fp: np.ndarray) -> pa.RecordBatch:
-        root = linked(fp.view(np.uint64), distance)
-        own = root != np.arange(len(fp))
-        return edges(fp[own], fp[root[own]])
+    def runs(fp: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fp = np.unique(fp)
+        block = fp & np.uint64(mask)
+        order = np.argsort(block, kind="stable")
+        fp, block = fp[order], block[order]
+        return fp, block, np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(fp)]]) if len(fp) else np.zeros(1, np.int64)
 
-    def finished(fp: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs fp[bounds[k]:bounds[k + 1]]: the short ones are compared all at once, shift by shift."""
+    def finished(fp: np.ndarray, bounds: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(bounds)
-        short = (sizes > 1) & (sizes <= 24)
         run = np.repeat(np.arange(len(sizes)), sizes)
-        for shift in range(1, int(sizes[short].max(initial=1))):
+        long = sizes > most
+        if long.any():
+            gone = fp[long[run]]
+            yield rows(gone, np.full(len(gone), number, np.int64), True)
+        short = (sizes > 1) & (sizes <= FANOUT)
+        for shift in range(1, int(sizes[short].max(initial=1))):  # the leaves of all small trees at once
             i = np.flatnonzero((run[:-shift] == run[shift:]) & short[run[shift:]])
-            near = i[np.bitwise_count((fp[i] ^ fp[i + shift]).view(np.uint64)) <= distance]
-            if len(near):
-                yield edges(fp[near + shift], fp[near])
-        for k in np.flatnonzero(sizes > 24).tolist():
-            yield large(fp[bounds[k] : bounds[k + 1]])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kind = batch.column("mask").to_numpy(zero_copy_only=False).astype(np.int64)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-        block = fp.view(np.uint64) & table_of[kind]
-        bounds = np.concatenate([[0], np.flatnonzero((kind[1:] != kind[:-1]) | (block[1:] != block[:-1])) + 1, [len(fp)]])
-        if (int(kind[0]), int(block[0])) == held_key:
-            z = int(bounds[1])
-            held = np.concatenate([held, fp[:z]])
-            if over or len(held) > most:
-                yield passed_on(held, held_key[0])
-                held, over = none, True
-            if len(bounds) == 2:
-                continue
-            fp, kind, block, bounds = fp[z:], kind[z:], block[z:], bounds[1:] - z
-        if len(held) > 1:
-            yield large(held)
-        inner = np.diff(bounds)[:-1] > most  # runs that begin and end in this batch and are too long
-        last = int(bounds[-2])
-        if inner.any():
-            keep = np.repeat(~inner, np.diff(bounds)[:-1])
-            for k in np.flatnonzero(inner).tolist():
-                yield passed_on(fp[bounds[k] : bounds[k + 1]], int(kind[bounds[k]]))
-            yield from finished(fp[:last][keep], np.concatenate([[0], np.cumsum(np.diff(bounds)[:-1][~inner])]))
-        else:
-            yield from finished(fp[:last], bounds[:-1])
-        held_key, held, over = (int(kind[last]), int(block[last])), fp[last:], False
-        if len(held) > most:
-            yield passed_on(held, held_key[0])
-            held, over = none, True
-    if len(held) > 1:
-        yield large(held)
+            i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= distance]
+            if len(i):
+                yield rows(fp[i + shift], fp[i], False)
+        for k in np.flatnonzero((sizes > FANOUT) & ~long).tolist():
+            part = fp[bounds[k] : bounds[k + 1]]
+            root = linked(part, distance)
+            own = root != np.arange(len(part))
+            if own.any():
+                yield rows(part[own], part[root[own]], False)
+
+    held, n, last, crowded = [], 0, None, np.empty(0, np.uint64)
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        fp, _, bounds = runs(np.concatenate(held), masks[last // slots])
+        if len(fp):
+            yield from finished(fp, bounds, last // slots)
+
+    for b in batches:
+        for slot, raw in zip(b.column("slot").to_pylist(), b.column("fps").to_pylist(), strict=True):
+            if slot != last:
+                if held:
+                    yield from whole()
+                held, n, last, crowded = [], 0, slot, np.empty(0, np.uint64)
+            fp, number = np.frombuffer(raw, np.uint64), slot // slots
+            if len(crowded):
+                gone = np.isin(fp & np.uint64(masks[number]), crowded)
+                if gone.any():
+                    yield rows(fp[gone], np.full(int(gone.sum()), number, np.int64), True)
+                    fp = fp[~gone]
+            held.append(fp)
+            n += len(fp)
+            if n > HELD:
+                fp, block, bounds = runs(np.concatenate(held), masks[number])
+                long = np.repeat(np.diff(bounds) > most, np.diff(bounds))
+                crowded = np.union1d(crowded, block[long])
+                if long.any():
+                    yield rows(fp[long], np.full(int(long.sum()), number, np.int64), True)
+                held = [fp[~long]]
+                n = len(held[0]) - HELD  # what is left are small blocks
+    if held:
+        yield from whole()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -275,24 +247,27 @@ def hamming_links(fingerprints: DataFrame, distance: int = 3, most: int = 4096,
     until they are few or the bits that are left bound their number.
     """
     masks = first_masks(distance)
-    rows, numbers, found = fingerprints.select("fp").distinct(), None, []
+    rows, own, found = fingerprints.select("fp").distinct(), False, []
+    size = fingerprints.count() * len(masks)
     while True:
         limit = most if 64 - min(m.bit_count() for m in masks) > 12 else 1 << 20
-        work, at = by_blocks(rows, masks, numbers), list(masks)
+        slots = max(1, -(-size // (SLOT * len(masks))), -(-4 * spread(fingerprints) // len(masks)))
+        at = list(masks)
 
-        def search(batches, at=at, limit=limit):
-            return gathered(small_runs(batches, at, distance, limit))
+        def search(batches, at=at, limit=limit, slots=slots):
+            return gathered(search_slots(batches, at, slots, distance, limit))
 
-        out, _ = materialise(work.select("mask", "fp").mapInArrow(search, "a long, b long, over boolean"), label)
+        out, _ = materialise(by_slots(rows, masks, slots, own).mapInArrow(search, "a long, b long, over boolean"), label)
         found.append(out.where("not over").select("a", "b"))
         rest = out.where("over").select(F.col("a").alias("fp"), F.col("b").cast("int").alias("parent")).distinct()
-        if limit > most or rest.isEmpty():
+        size = rest.count() * (distance + 1)
+        if limit > most or not size:
             break
         finer = [finer_masks(m, distance) for m in masks]
         numbered = [list(range(i * (distance + 1), (i + 1) * (distance + 1))) for i in range(len(masks))]
         children = F.element_at(F.array(*[F.array(*[F.lit(n) for n in x]) for x in numbered]), F.col("parent") + 1)
-        rows = rest.select("fp", F.explode(children).alias("mask"))
-        masks, numbers = [m for x in finer for m in x], rows
+        rows, own = rest.select("fp", F.explode(children).alias("mask")), True
+        masks = [m for x in finer for m in x]
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionAll(f)

@@ -114,9 +114,10 @@ def test_crowded_blocks_lose_no_link(spark):
 def test_repeated_lines(spark):
     texts = ["alpha beta gamma delta\nonly here it is\n\n", "Alpha  BETA gamma delta\nonly there it was", None, "", "alpha beta gamma, delta\nalpha beta gamma delta"]
     got = {r.doc_id: r.lines for r in line_dedup.repeated_lines(table(spark, texts, False)).collect()}
-    assert got == {1: [0], 4: [0, 1]}
+    assert line_dedup.edit_distance("only here it is", "only there it was", 99) == 3  # of 17 characters: similar
+    assert got == {1: [0, 1], 4: [0, 1]}
     out = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(table(spark, texts, False)).collect()}
-    assert out == {0: texts[0], 1: "only there it was", 2: None, 3: "", 4: ""}
+    assert out == {0: texts[0], 1: "", 2: None, 3: "", 4: ""}
     assert line_dedup.without_repeated_lines(empty(spark)).count() == 0
     assert line_dedup.without_repeated_lines(table(spark)).count() == len(TEXTS) + 2
 
@@ -133,6 +134,24 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b, 99) == d[-1]
 
 
+def test_batched_distances_equal_single_ones():
+    r = random.Random(21)
+    text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    for low, high in ((1, 64), (65, 128), (300, 320)):
+        pairs = []
+        for _ in range(150):
+            a = text(r.randint(low, high))
+            b = list(a)
+            for _ in range(r.randint(0, len(a) // 3)):
+                k = r.randrange(len(b) + 1)
+                b[k : k + r.randint(0, 1)] = text(r.randint(0, 2))
+            b = "".join(b)[:high]
+            pairs.append((a, b if len(b) >= low else a + "x"))
+        d = [line_dedup.edit_distance(a, b, 999) for a, b in pairs]
+        for slack in (0, 1):
+            assert line_dedup.batch_within(pairs, [x - slack for x in d]) == [not slack] * len(pairs)
+
+
 def test_decontamination_finds_replaced_words(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
@@ -232,7 +251,8 @@ def test_line_groups_equal_brute_force():
             if group[i] != group[j] and line_dedup.edit_distance(x, lines[j], 99) <= 0.2 * max(len(x), len(lines[j])) + 1e-9:
                 low, high = sorted((group[i], group[j]))
                 group = [low if g == high else g for g in group]
-    assert line_dedup.alike(lines, 0.8).tolist() == group
+    assert line_dedup.alike(lines, [len(lines)], 0.8).tolist() == group
+    assert line_dedup.alike(lines * 2, [len(lines)] * 2, 0.8).tolist() == group + [len(lines) + g for g in group]
 
 
 def test_lm_learns_from_whole_texts(spark):
