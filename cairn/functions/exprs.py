@@ -16,6 +16,8 @@ ALIASES = {
 }
 # Families kept for the unseen test split.
 HELD_OUT = ["flux_1_dev", "nano_banana_pro", "novelai_anime_v3", "midjourney", "sdxl_1_0", "dalle2", "dalle_2"]
+# Spellings of the data set, and its family, that is always trained on.
+FORCED_TRAINING = (["diffusionforensics", "dire"], "adm")
 # Fixed value: digest of a known placeholder image.
 PLACEHOLDERS = ["9b5936f4006146e4e1e9025b474c02863c0b5614132ad40db4b925a10e8bfbb9"]
 # Label names; 0 authentic, 1 tampered, 2 fully generated.
@@ -44,14 +46,15 @@ def is_held_out(family: Column) -> Column:
     return family.isin(HELD_OUT)
 
 
-def provenance_code(label: Column, dataset: Column) -> Column:
-    """P3. Null for what has no meaning; a strict load raises there."""
+def provenance_code(label: Column, dataset: Column, strict: bool = False) -> Column:
+    """P3. Null for what has no meaning, numbers of any length included; ``strict`` fails the query there."""
     name = F.regexp_replace(F.lower(F.trim(label)), "[- ]", "_")
-    number = F.when(name.rlike("^[0-9]+$"), name.cast("int"))
+    number = F.when(name.rlike("^[0-9]+$"), name.try_cast("int"))
     sid = F.regexp_replace(F.lower(dataset), "-", "_").isin("sid", "sid_set")
     coded = F.when(sid, F.when(number == 0, 0).when(number == 1, 2).when(number == 2, 1)).when(number.between(0, 2), number)
     named = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), name)
-    return F.coalesce(named, coded)
+    code = F.coalesce(named, coded)
+    return F.coalesce(code, F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null")))).cast("int")) if strict else code
 
 
 def is_safe_relative_path(path: Column) -> Column:
@@ -93,8 +96,8 @@ def source_index(external: Column, path: Column) -> Column:
 
 
 def source_index_strict(external: Column, path: Column) -> Column:
-    """As number, from five to eight digits first."""
-    found = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")).cast("long")
+    """As number, from five to eight digits first; null for more digits than a long has."""
+    found = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")).try_cast("long")
     return F.coalesce(found(external, r"_(\d{5,8})\b"), found(path, r"_(\d{5,8})\."), found(external, r"(\d+)"))
 
 
@@ -124,12 +127,14 @@ def row_seed(seed: Column, epoch: Column, row: Column, candidate: Column) -> Col
     return F.conv(F.substring(F.sha2(F.concat_ws("_", seed, epoch, row, candidate), 256), 1, 8), 16, 10).cast("long")
 
 
-def first_split(official: Column, label: Column, family: Column) -> Column:
-    """P27 before groups are looked at."""
+def first_split(official: Column, label: Column, family: Column, dataset: Column | None = None) -> Column:
+    """P27 before groups are looked at; one family of one data set (FORCED_TRAINING) never counts as held out."""
     o = F.lower(F.trim(F.coalesce(official, F.lit("train"))))
     synthetic = F.lower(F.trim(label)).isin("fully_aigc", "aigc", "ai")
+    plain = F.regexp_replace(F.lower(F.coalesce(dataset if dataset is not None else F.lit(None).cast("string"), F.lit(""))), "[^a-z0-9]+", "")
+    forced = plain.isin(FORCED_TRAINING[0]) & (family == FORCED_TRAINING[1])
     return (
-        F.when(o == "test_unseen", "test_unseen").when(F.coalesce(synthetic & is_held_out(family), F.lit(False)), "test_unseen")
+        F.when(o == "test_unseen", "test_unseen").when(F.coalesce(synthetic & is_held_out(family) & ~forced, F.lit(False)), "test_unseen")
         .when(o.isin("test", "testing"), "test").when(o.isin("validation", "val", "dev"), "validation").otherwise("train")
     )
 
@@ -153,3 +158,80 @@ def top_share_mean(values: Column, share: float = 0.05) -> Column:
     n = F.greatest(F.ceil(F.size(values) * share), F.lit(1)).cast("int")
     top = F.slice(F.sort_array(values, asc=False), F.lit(1), n)
     return F.aggregate(top, F.lit(0.0), lambda s, v: s + v) / n
+
+
+def positive_probability(probabilities: Column, classes: int = 2) -> Column:
+    """The positive class of an array; another number of classes fails the query."""
+    wrong = F.raise_error(F.concat(F.lit("classes expected: "), F.lit(classes), F.lit(", found: "), F.size(probabilities).cast("string"))).cast("double")
+    return F.when(F.size(probabilities) == classes, F.element_at(probabilities, 2).cast("double")).otherwise(wrong)
+
+
+def verdict(score: Column, threshold: float, positive: str = "AIGC", negative: str = "AUTHENTIC") -> Column:
+    """P17; null for a null score."""
+    return F.when(score >= threshold, positive).when(score.isNotNull(), negative)
+
+
+def is_confident(p: Column, least: float) -> Column:
+    """The more probable of two classes has at least ``least``."""
+    return F.greatest(p, 1 - p) >= least
+
+
+def normal_path(path: Column, root: str | None = None) -> Column:
+    """Forward slashes, joined to ``root`` unless absolute."""
+    p = F.trim(F.replace(path, F.lit("\\"), F.lit("/")))
+    return p if root is None else F.when(p.startswith("/") | p.rlike("^[a-zA-Z]:"), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p))
+
+
+def first_json(document: Column, *paths: str) -> Column:
+    """The first of the JSON paths that is there, as text."""
+    return F.coalesce(*[F.get_json_object(document, p) for p in paths])
+
+
+def learning_rate(step: Column, warmup: int, total: int, floor: float = 0.0) -> Column:
+    """P25: factor of the rate, a linear rise and then half a cosine down to ``floor``."""
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(1, total - warmup)))))
+    return F.when(step < warmup, (step + 1) / F.lit(float(max(1, warmup)))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * part)))
+
+
+def milestones(stop: int, shares: list[float]) -> list[int]:
+    """Steps at shares of a run, from the first on."""
+    return [max(1, -int(-(stop * s) // 1)) for s in shares]
+
+
+def is_sha256(text: Column) -> Column:
+    """P23."""
+    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def held_out_by_hash(family: Column, seed: int = 42, parts: int = 5) -> Column:
+    """D3: a family is held out if the digest of seed and name is 0 modulo ``parts``; by the digest's last 15 hex digits weighed with the rest."""
+    h = F.sha2(F.concat(F.lit(f"seed{seed}:"), family), 256)
+    digits = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int"))
+    return F.aggregate(digits, F.lit(0), lambda m, x: (m * 16 + x) % parts) == 0
+
+
+def passes_quality(width: Column, height: Column, n_bytes: Column, short: int = 512, aspect: float = 3.0, least_bytes: int = 10_240) -> Column:
+    """D5; null counts as failed."""
+    edge = F.least(width, height)
+    return F.coalesce((edge >= short) & (F.greatest(width, height) / F.greatest(edge, F.lit(1)) <= aspect) & (n_bytes >= least_bytes), F.lit(False))
+
+
+def cohort(id_: Column, tags: Column, score: Column, rating: Column, created: Column, *, tag: str, low: int, high: int, floor: float, ratings: list[str], before: str, modulo: int, rest: int) -> Column:
+    """One tag among many, an id range, a score floor, ratings, a cutoff date and every ``modulo``-th id."""
+    tagged = F.concat(F.lit(" "), F.coalesce(tags, F.lit("")), F.lit(" ")).like(f"% {tag} %")
+    return tagged & id_.between(low, high) & (score >= floor) & rating.isin(ratings) & (created < before) & (F.pmod(id_, F.lit(modulo)) == rest)
+
+
+# Weights of the selection scores, best evidence first.
+SELECTION = {"poc": [0.50, 0.25, 0.20, 0.05], "bakeoff": [0.45, 0.30, 0.15, 0.10], "final": [0.40, 0.25, 0.20, 0.10, 0.05]}
+
+
+def selection_score(kind: str, *parts: Column) -> Column:
+    """Weighted sum of a candidate's parts; null if one is missing."""
+    weights = SELECTION[kind]
+    if len(parts) != len(weights):
+        raise ValueError(f"{kind} takes {len(weights)} parts")
+    out = F.lit(0.0)
+    for w, c in zip(weights, parts, strict=True):
+        out = out + w * c
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.exprs import cosine_similarity
+
 
 def sigmoid(x: Column) -> Column:
     """P15."""
@@ -54,3 +56,32 @@ def provenance_probabilities(ai_logit: Column, tamper_logit: Column) -> tuple[Co
     """Fully generated, tampered and authentic from two logits."""
     a, t = sigmoid(ai_logit), sigmoid(tamper_logit)
     return a, (1 - a) * t, (1 - a) * (1 - t)
+
+
+def mean_squared_error(a: Column, b: Column) -> Column:
+    """of two arrays; null for empty ones."""
+    return fold(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y, F.lit(2.0)))) / F.nullif(F.size(a), F.lit(0))
+
+
+def consistency(a: Column, b: Column, kind: str = "cosine") -> Column:
+    """Mean over the rows of 1 - cosine similarity or of the squared error of two feature arrays."""
+    return F.avg(1 - cosine_similarity(a, b) if kind == "cosine" else mean_squared_error(a, b))
+
+
+def mean_view(logits: Column) -> Column:
+    """Probability of the mean logit of several views; an aggregate."""
+    return sigmoid(F.avg(logits))
+
+
+def pooled_vectors(tokens: Column, scores: Column, share: float = 0.05) -> dict[str, Column]:
+    """F11 over an array of token vectors: by position the mean, the population deviation, the mean weighted by softmax of the scores and the mean of the best ``share`` by score."""
+    n, places = F.size(tokens), F.sequence(F.lit(1), F.size(F.element_at(tokens, 1)))
+    at = lambda i: F.transform(tokens, lambda t: F.element_at(t, i).cast("double"))
+    mean = lambda i: fold(at(i)) / n
+    weight = F.transform(scores, lambda s: F.exp(s.cast("double") - F.array_max(scores)))
+    best = F.slice(F.sort_array(F.zip_with(scores, tokens, lambda s, t: F.struct(s.alias("s"), t.alias("t"))), asc=False), F.lit(1), F.greatest(F.lit(1), F.ceil(n * share)).cast("int"))
+    return {
+        "mean": F.transform(places, mean), "deviation": F.transform(places, lambda i: F.sqrt(fold(F.transform(at(i), lambda v: F.pow(v - mean(i), F.lit(2.0)))) / n)),
+        "softmax_mean": F.transform(places, lambda i: fold(F.zip_with(at(i), weight, lambda v, w: v * w)) / fold(weight)),
+        "top_mean": F.transform(places, lambda i: fold(F.transform(best, lambda x: F.element_at(x["t"], i).cast("double"))) / F.size(best)),
+    }

@@ -16,19 +16,25 @@ def _priority(split: Column) -> Column:
 
 
 def unify_splits(rows: DataFrame, group: str, most_held_out: bool = True) -> DataFrame:
-    """W5 (the most held-out split of a group wins) and W6 (train wins): a two-step join, so a hot group needs no window."""
+    """W5 (the most held-out split of a group wins) and W6 (train wins): a two-step join, so a hot group needs no window.
+
+    A row without a group keeps its own split.
+    """
     pick = F.max_by if most_held_out else F.min_by
-    chosen = rows.groupBy(group).agg(pick("split", _priority(F.col("split"))).alias("__split"))
-    return rows.join(chosen, group).withColumn("split", F.col("__split")).drop("__split")
+    chosen = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__group")).agg(pick("split", _priority(F.col("split"))).alias("__split"))
+    joined = rows.join(chosen, F.col(group) == F.col("__group"), "left")
+    return joined.withColumn("split", F.coalesce("__split", "split")).drop("__split", "__group")
 
 
 def relabel_unseen(rows: DataFrame, group: str, family: str, synthetic: Column) -> DataFrame:
-    """Groups in test_unseen whose synthetic families are in train become test_seen; those without any become test."""
+    """Groups in test_unseen whose synthetic families are in train become test_seen; those without any become test. A row without a group is a group of its own."""
     trained = rows.where((F.col("split") == "train") & synthetic).select(F.col(family).alias("__family")).distinct().withColumn("__seen", F.lit(True))
     marked = rows.withColumn("__syn", F.coalesce(synthetic, F.lit(False))).join(trained, F.col(family) == F.col("__family"), "left")
-    per = marked.groupBy(group).agg(F.max(F.col("split") == "test_unseen").alias("__unseen"), F.max(F.col("__syn") & F.col("__seen").isNotNull()).alias("__known"), F.max("__syn").alias("__any"))
-    split = F.when(F.col("__unseen") & F.col("__known"), "test_seen").when(F.col("__unseen") & ~F.col("__any"), "test").otherwise(F.col("split"))
-    return rows.join(per, group).withColumn("split", split).drop("__unseen", "__known", "__any")
+    unseen, known = F.col("split") == "test_unseen", F.col("__syn") & F.col("__seen").isNotNull()
+    per = marked.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__group")).agg(F.max(unseen).alias("__u"), F.max(known).alias("__k"), F.max("__syn").alias("__a"))
+    joined = marked.join(per, F.col(group) == F.col("__group"), "left")
+    u, k, a = F.coalesce("__u", unseen), F.coalesce("__k", known), F.coalesce("__a", "__syn")
+    return joined.withColumn("split", F.when(u & k, "test_seen").when(u & ~a, "test").otherwise(F.col("split"))).select(rows.columns)
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -44,6 +50,12 @@ def conflicting_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
 
 
+def first_flags(rows: DataFrame, key: str, order: str, name: str = "is_first") -> DataFrame:
+    """Whether a row is the first of its key. The minimum is aggregated before the shuffle and joined, so a key that many rows share needs no window; a null key is never shared."""
+    least = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__least"))
+    return rows.join(least, F.col(key) == F.col("__key"), "left").withColumn(name, F.coalesce(F.col(order) == F.col("__least"), F.lit(True))).drop("__key", "__least")
+
+
 def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rank of each row in its key; 1 stays."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
@@ -69,6 +81,13 @@ def banded_pairs(rows: DataFrame, id_: str, hash_: str, distance: int, bits: int
     return near.join(left, "h").join(right, "g").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance"))
 
 
+def two_hash_pairs(rows: DataFrame, id_: str, first: str, second: str, distances: tuple[int, int] = (4, 6), bits: int = 64) -> DataFrame:
+    """J3 with both hashes: pairs near by the first (five bands) or by the second (eight bands of eight bits)."""
+    a = banded_pairs(rows, id_, first, distances[0], bits).select("id_a", "id_b")
+    wide = banded_pairs(rows, id_, second, distances[1], bits).select("id_a", "id_b")
+    return a.unionAll(wide).distinct()
+
+
 def manifest_digest(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Digest that the order of rows doesn't change, over row hashes by group.
 

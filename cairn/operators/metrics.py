@@ -15,21 +15,40 @@ def _by_score(rows: DataFrame, keys: list[str], target: str, score: str, weight:
     return known.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.when(F.col(target) == 1, weight).otherwise(0)).alias("p"), F.sum(F.when(F.col(target) == 0, weight).otherwise(0)).alias("n"))
 
 
+def running(tied: DataFrame, keys: list[str], columns: list[str], at: str = "s") -> DataFrame:
+    """``tied`` with ``<column>_below``, the sum over all smaller ``at`` of the key, and ``<column>_all``.
+
+    Values are cut into 4,096 ranges by a rising function that is even on [0, 1]
+    and bounded elsewhere. Sums of whole ranges are accumulated in one small
+    window for each key, those inside a range in the range's own task: no task
+    sees all values of a key.
+    """
+    part = F.floor(F.col(at) / (1 + F.abs(at)) * 2048)
+    cut = tied.withColumn("__part", F.coalesce(part, F.lit(-4096)))
+    sums = cut.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__range")).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    key = [f"__{k}" for k in keys]
+    before, every = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
+    whole = sums.select(*key, "__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in columns], *[F.sum(f"__{c}").over(every).alias(f"{c}_all") for c in columns])
+    same = F.col("__part") == F.col("__range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    run = cut.join(whole, same).withColumns({f"{c}_below": F.col(f"__{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    return run.drop(*key, "__range", "__part", *[f"__{c}_before" for c in columns])
+
+
 def auroc(rows: DataFrame, keys: list[str], target: str = "y", score: str = "score", weight: Column | None = None) -> DataFrame:
     """A7 (A19 with a weight): chance that a positive outranks a negative, ties half."""
-    tied = _by_score(rows, keys, target, score, F.lit(1) if weight is None else weight)
-    below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    sums = ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won"))
+    ranked = running(_by_score(rows, keys, target, score, F.lit(1) if weight is None else weight), keys, ["n"])
+    sums = ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2)).alias("won"))
     return sums.select(*keys, "n_pos", "n_neg", F.try_divide("won", (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auroc"))
 
 
 def auprc(rows: DataFrame, keys: list[str], target: str = "y", score: str = "score") -> DataFrame:
     """Precision at each distinct threshold, weighted by the step in recall."""
-    tied = _by_score(rows, keys, target, score, F.lit(1))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    run = tied.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    return run.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * F.try_divide("tp", F.col("tp") + F.col("fp"))), F.sum("p")).alias("auprc"))
+    run = running(_by_score(rows, keys, target, score, F.lit(1)), keys, ["p", "n"])
+    tp, fp = F.col("p_all") - F.col("p_below"), F.col("n_all") - F.col("n_below")
+    return run.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * F.try_divide(tp, tp + fp)), F.sum("p")).alias("auprc"))
 
 
 def confusion(rows: DataFrame, keys: list[str], target: str, predicted: str) -> DataFrame:
@@ -66,12 +85,11 @@ def at_thresholds(rows: DataFrame, grid: DataFrame, target: str = "y", score: st
     Scores are collapsed, then joined with the thresholds as one sorted stream
     of running sums: no rows are multiplied by the number of thresholds.
     """
-    tied = _by_score(rows, [], target, score, F.lit(1)).select("s", "p", "n", F.lit(1).alias("kind"))
-    both = tied.unionByName(grid.select(F.col("threshold").alias("s"), F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("kind")))
-    below = Window.orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    run = both.withColumns({"p_below": F.coalesce(F.sum("p").over(below), F.lit(0)), "n_below": F.coalesce(F.sum("n").over(below), F.lit(0)), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)}).where("kind = 0")
-    return run.select(F.col("s").alias("threshold"), (1 - F.try_divide("p_below", "all_p")).alias("tpr"), F.try_divide("n_below", "all_n").alias("tnr"))
+    tied = _by_score(rows, [], target, score, F.lit(1)).select("s", "p", "n", F.lit(False).alias("asked"))
+    asked = grid.select(F.col("threshold").alias("s"), F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    both = tied.unionByName(asked).groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    run = running(both, [], ["p", "n"]).where("asked")
+    return run.select(F.col("s").alias("threshold"), (1 - F.try_divide("p_below", "p_all")).alias("tpr"), F.try_divide("n_below", "n_all").alias("tnr"))
 
 
 def calibrate(rates: DataFrame, least_recall: float) -> DataFrame:

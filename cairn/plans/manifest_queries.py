@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import exprs as X
 from cairn.operators import curate as C
+from cairn.operators import evaluate as E
 from cairn.operators import metrics as M
 from cairn.plans.registry import query
 
@@ -154,24 +155,6 @@ def q09(spark, d):
     return M.auroc(rows, ["dataset"], weight=F.col("wt")).withColumn("auroc", F.round("auroc", 9))
 
 
-@query("q10_bootstrap_ci", f"""WITH {SCORED}, b AS (SELECT i, s.dataset, s.score, s.y, ('0x' || substr(sha256(s.dataset || ':' || i), 1, 6))::INT % 3 AS wt FROM scored s, range(20) t(i)), a AS ({AUROC.format(k="i,", w="PARTITION BY i", weight="wt", t="b", g="GROUP BY i")})
- SELECT count(auroc) AS finite, round(list_sort(list(auroc) FILTER (auroc IS NOT NULL))[1 + round(0.025 * (count(auroc) - 1))::INT], 9) AS low, round(list_sort(list(auroc) FILTER (auroc IS NOT NULL))[1 + round(0.975 * (count(auroc) - 1))::INT], 9) AS high FROM a""")
-def q10(spark, d):
-    """Clusters (datasets) get hashed multiplicities in each of 20 draws; percentiles of the weighted metric.
-
-    Rows are first collapsed by (dataset, score), so draws multiply that table.
-    """
-    rows = scored(spark, d).where("y is not null").groupBy("dataset", "score").agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") == 0).cast("long")).alias("n"))
-    draws = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    w = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", "dataset", "i"), 256), 1, 6), 16, 10).cast("long"), F.lit(3))
-    tied = draws.groupBy("i", "score").agg(F.sum(F.col("p") * w).alias("p"), F.sum(F.col("n") * w).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = tied.withColumn("below", below).groupBy("i").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
-    s = a.agg(F.count("auroc").alias("finite"), F.sort_array(F.collect_list("auroc")).alias("v"))
-    at = lambda q: F.round(F.element_at("v", (1 + F.round(F.lit(q) * (F.col("finite") - 1))).cast("int")), 9)
-    return s.select("finite", at(0.025).alias("low"), at(0.975).alias("high"))
-
-
 @query("q11_normalize_generator", f"WITH {MANIFEST}, {FAMILY} SELECT doc_id, generator_family, generator_family IN {HELD} AS held_out FROM family")
 def q11(spark, d):
     m = with_family(manifest(spark, d))
@@ -318,36 +301,19 @@ def q30(spark, d):
     return C.union_all(parts)
 
 
-@query("q31_calibration_selection", f"""{BASE}, single AS (SELECT * FROM assigned WHERE duplicate_group IN (SELECT duplicate_group FROM assigned GROUP BY 1 HAVING count(*) = 1)), tagged AS (SELECT *, CASE WHEN label IN ('real', 'authentic') THEN 'authentic' WHEN label = 'Tampered' THEN 'tampered' ELSE 'aigc' END AS stratum FROM single)
- SELECT doc_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256, doc_id) AS k FROM tagged) WHERE k <= CASE stratum WHEN 'authentic' THEN 20 ELSE 10 END""")
-def q31(spark, d):
-    """Singletons only; half authentic, a quarter of each kind of positive, in hash order."""
-    rows = assigned(spark, d)
-    one = rows.groupBy("duplicate_group").agg(F.count(F.lit(1)).alias("size")).where("size = 1")
-    stratum = F.when(F.col("label").isin("real", "authentic"), "authentic").when(F.col("label") == "Tampered", "tampered").otherwise("aigc")
-    ranked = rows.join(one, "duplicate_group", "left_semi").withColumn("stratum", stratum).withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy("sha256", "doc_id")))
-    return ranked.where(F.col("k") <= F.when(F.col("stratum") == "authentic", 20).otherwise(10)).select("doc_id", "stratum")
-
-
 @query("q32_sampling_weights", f"""WITH {SCORED}, s AS (SELECT y, dataset, count(*) AS size FROM scored WHERE y IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, least(0.5::DOUBLE / (count(*) OVER (PARTITION BY y) * size), 5.0::DOUBLE * 0.5 / sum(size) OVER (PARTITION BY y)) AS raw FROM s),
  w AS (SELECT *, raw * 0.5 / sum(raw * size) OVER (PARTITION BY y) AS weight FROM c) SELECT doc_id, round(weight, 12) AS weight FROM scored JOIN w USING (y, dataset)""")
 def q32(spark, d):
     return M.balanced_weights(scored(spark, d), "y", "dataset").select("doc_id", F.round("weight", 12).alias("weight"))
 
 
-@query("q33_coverage_shards", "SELECT doc_id, (('0x' || substr(sha256('42:0:' || doc_id), 1, 8))::BIGINT % 6)::INT AS shard FROM documents")
-def q33(spark, d):
-    """Every row once, in shards of nearly equal size by hash; no global order is made."""
-    return read(spark, d, "documents").select("doc_id", F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit("42:0:"), "doc_id"), 256), 1, 8), 16, 10).cast("long"), F.lit(6)).cast("int").alias("shard"))
-
-
 @query("q34_caps", f"WITH {MANIFEST} SELECT doc_id, dataset FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY doc_id) AS k FROM manifest) WHERE k <= 7")
 def q34(spark, d):
     return C.capped(manifest(spark, d), "dataset", "doc_id", 7).select("doc_id", "dataset")
 
 
 # Evaluation conditions with family and severity.
-CONDITIONS = [("clean", "clean", 0.0), ("jpeg90", "jpeg", 90.0), ("jpeg70", "jpeg", 70.0), ("jpeg50", "jpeg", 50.0), ("blur1", "blur", 1.0), ("blur2", "blur", 2.0), ("resize80", "resize", 0.8), ("resize50", "resize", 0.5), ("noise5", "noise", 0.05), ("color20", "color", 0.2), ("crop80", "crop", 0.8)]
+CONDITIONS = E.CONDITIONS
 COND_SQL = "cond AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {i})" for i, (a, b, _) in enumerate(CONDITIONS)) + ") c(condition, family, k)), grid AS (SELECT condition, family, y, greatest(0, score - k * 0.01::DOUBLE * (doc_id % 3)) AS score FROM scored, cond)"
 
 

@@ -73,9 +73,10 @@ def declared(rows: DataFrame, path: str = "image_path", *also: str) -> tuple[Dat
 
 
 def files(spark: SparkSession, folder: str, suffixes: list[str] | None = None) -> DataFrame:
-    """Files below a folder or glob, with size and digest of their content; suffixes in any case."""
-    pattern = r"(?i)\.(" + "|".join(suffixes or IMAGES) + ")$"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
+    """Files below a folder or glob, with size and digest of their content; suffixes in any case. Other files are listed, but not read."""
+    either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    names = "*.{" + ",".join(either(s) for s in suffixes or IMAGES) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
     return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -122,7 +123,7 @@ def zip_members(spark: SparkSession, folder: str, names: list[str] | None = None
 
 
 def first_field(rows: DataFrame, fields: list[str]) -> Column:
-    """The first of the fields that the table has and that isn't null or blank."""
+    """The first of the fields that the table has and that isn't null or blank."""
     have = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in fields if c in rows.columns]
     return F.coalesce(*have) if have else F.lit(None).cast("string")
 
@@ -202,3 +203,100 @@ def load_config(path: str) -> dict:
     if not isinstance(config, dict):
         raise TypeError("the root of a configuration must be a mapping")
     return expand_environment(config)
+
+
+def expand_globs(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files of each pattern in order, by the file system that the path names; a pattern without a match stays as it is."""
+    out = []
+    for p in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        names = sorted(f.getPath().toUri().getPath() for f in found) if found else []
+        out += names or [p]
+    return out
+
+
+def probed(rows: DataFrame, listings: list[DataFrame], key: str = "member", remote: str | None = None) -> DataFrame:
+    """Each row with the ``path`` of the first listing (``key``, ``path``) that has its key, else the ``remote`` address with the key appended; ``probe`` is the listing's position, null for remote and missing ones.
+
+    Several files of one key in a listing: the first path in order.
+    """
+    ranked = None
+    for i, one in enumerate(listings):
+        part = one.select(F.col(key).alias("__key"), F.struct(F.lit(i).alias("probe"), F.col("path").cast("string").alias("path")).alias("__hit"))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    if ranked is None:
+        joined = rows.withColumn("__hit", F.lit(None).cast("struct<probe:int,path:string>"))
+    else:
+        joined = rows.join(ranked.groupBy("__key").agg(F.min("__hit").alias("__hit")), F.col(key) == F.col("__key"), "left").drop("__key")
+    away = F.lit(None).cast("string") if remote is None else F.concat(F.lit(remote.rstrip("/") + "/"), F.col(key))
+    return joined.withColumns({"path": F.coalesce(F.col("__hit.path"), away), "probe": F.col("__hit.probe")}).drop("__hit")
+
+
+#: Fields that may hold an image, in the order in which they are tried.
+IMAGE_FIELDS = ["image", "img", "jpg", "png", "picture", "photo", "file", "image_bytes", "content", "data"]
+
+
+def image_field(rows: DataFrame, path_field: str | None = None, url_field: str | None = None, pair: tuple[str, int] | None = None) -> DataFrame:
+    """``image_path``, ``image_bytes`` and ``image_from`` of each row.
+
+    Tried in order: the declared path field, the url field, one item of an array
+    of images, then ``IMAGE_FIELDS``. A field may be text, bytes, or a struct of
+    ``bytes`` and ``path`` (bytes win). Blank texts and empty bytes are skipped.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    tried: list[tuple[str, Column, object]] = [(n, F.col(n), kinds[n]) for n in (path_field, url_field) if n in kinds]
+    if pair and pair[0] in kinds:
+        tried.append((pair[0], F.get(F.col(pair[0]), F.lit(pair[1])), kinds[pair[0]].elementType))
+    tried += [(n, F.col(n), kinds[n]) for n in IMAGE_FIELDS if n in kinds]
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    raw = lambda c: F.when(F.octet_length(c) > 0, c)
+    path, content, origin = F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for name, c, kind in reversed(tried):
+        p, b = F.lit(None).cast("string"), F.lit(None).cast("binary")
+        if kind.typeName() == "string":
+            p = text(c)
+        elif kind.typeName() == "binary":
+            b = raw(c)
+        elif kind.typeName() == "struct":
+            b = raw(c["bytes"]) if "bytes" in kind.names else b
+            p = F.when(b.isNull(), text(c["path"])) if "path" in kind.names else p
+        hit = p.isNotNull() | b.isNotNull()
+        path, content, origin = F.when(hit, p).otherwise(path), F.when(hit, b).otherwise(content), F.when(hit, F.lit(name)).otherwise(origin)
+    return rows.withColumns({"image_path": path, "image_bytes": content, "image_from": origin})
+
+
+def dispatched(tasks: DataFrame, registry: DataFrame, readers: dict, key: str = "dataset", kind: str = "source_type") -> DataFrame:
+    """Each source's tasks go to the reader of its registered type.
+
+    ``readers`` maps a type to a function from tasks to tasks with ``status``.
+    Tasks of an unknown data set or type are errors. The registry must have one
+    row for each key.
+    """
+    typed = tasks.join(registry.select(key, kind), key, "left")
+    out = typed.where(~F.coalesce(F.col(kind).isin(list(readers)), F.lit(False))).withColumn("status", F.lit("error"))
+    for name, read in readers.items():
+        out = out.unionByName(read(typed.where(F.col(kind) == name)), allowMissingColumns=True)
+    return out
+
+
+def cached_features(rows: DataFrame, features: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows with their cached features, by id and not by position; a row without features fails the query, so does an id that the cache has twice."""
+    unique = features.groupBy(key).agg(F.first("features").alias("features"), F.count(F.lit(1)).alias("__n"))
+    joined = rows.join(unique, key, "left")
+    wrong = F.raise_error(F.concat(F.lit(f"no single cached feature for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("int")
+    return joined.where(F.when(F.col("__n") == 1, 1).otherwise(wrong) == 1).drop("__n")
+
+
+def find_environment(start: str, name: str = ".env") -> dict[str, str]:
+    """``NAME=value`` lines of the nearest environment file, from a folder upwards; quotes are taken off, and # lines left out."""
+    folder = os.path.abspath(start)
+    while True:
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8") as f:
+                lines = [x.strip().removeprefix("export ") for x in f]
+            return {k.strip(): v.strip().strip("\"'") for k, _, v in (x.partition("=") for x in lines if "=" in x and not x.startswith("#"))}
+        if os.path.dirname(folder) == folder:
+            return {}
+        folder = os.path.dirname(folder)

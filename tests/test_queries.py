@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cairn.plans import manifest_queries, more_queries, registry  # noqa: F401
+from cairn.plans import evaluation_queries, manifest_queries, more_queries, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
