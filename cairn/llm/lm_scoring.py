@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,14 +15,16 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Bounded, crc_of_id, materialise, raw_bytes, table, text_slices
+from cairn.llm.common import Bounded, crc_of_id, discard, materialise, raw_bytes, table, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words whose counts are broadcast, at most; all other words are joined.
+#: Words whose counts are broadcast for the base, at most; all other words are joined.
 FREQUENT = 100_000
-#: Classes that the model predicts; the last is the end of a text.
-CLASSES = 256
-END = CLASSES - 1
+#: Classes that the model predicts (the last is the end of a text), and how many of them are single ids.
+CLASSES, SINGLE = 128, 63
+END_CLASS = CLASSES - 1
+#: Vectors of input ids: the most frequent ids have their own, all others of a class share one.
+VECTORS = 4096
 #: Tokens in a window, and how many of them are only context.
 WINDOW, CONTEXT = 64, 16
 STRIDE = WINDOW - CONTEXT
@@ -66,6 +68,43 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def token_ids(path: str, limit: int = 250_000) -> Bounded:
+    """Packed 16-bit subword ids of each word (lower-case bytes), as after a blank."""
+    encode = subwords(path)[0].encode_ordinary
+    return Bounded(lambda word: np.array(encode(" " + word.decode()), np.uint16).tobytes(), limit)
+
+
+class Vocabulary:
+    """How subword ids are grouped, from their counts ``n`` (all of them plus one for the end).
+
+    Frequent ids are classes of their own; the others are binned by rank to
+    equal weight, those that begin a word apart. ``share`` is the natural log of
+    an id's part of its class: the counts plus one, so shares of a class add up
+    to one. ``vector`` is the id's row of the input table.
+    """
+
+    def __init__(self, n: np.ndarray, begins: np.ndarray):
+        self.size, bins = len(n), (CLASSES - 1 - SINGLE) // 2
+        order = np.lexsort((np.arange(len(n)), -n))
+        self.of = np.empty(len(n) + 1, np.int64)
+        self.of[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
+        for half, kind in enumerate((True, False)):
+            rest = order[SINGLE:][begins[order[SINGLE:]] == kind]
+            if len(rest):
+                weight = np.cumsum(n[rest] + 1.0)
+                self.of[rest] = SINGLE + bins * half + np.minimum(bins - 1, (weight * bins / weight[-1]).astype(np.int64))
+        self.of[-1] = END_CLASS
+        counted = np.append(n, 0) + 1.0
+        self.share = np.log(counted / np.bincount(self.of, counted, CLASSES)[self.of])
+        own = VECTORS - CLASSES
+        self.vector = own + self.of
+        self.vector[order[:own]] = np.arange(min(own, len(order)))
+
+    @property
+    def end(self) -> int:
+        return self.size
+
+
 def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """Occurrences of each subword id, from the words' counts; ids are bounded by the vocabulary."""
 
@@ -73,10 +112,9 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
         encoding, size = subwords(path)
         total = np.zeros(size, np.int64)
         for b in batches:
-            got = [encoding.encode_ordinary(" " + w) for w in b.column("word").to_pylist() if w]
-            n = [n for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w]
-            if got:
-                np.add.at(total, np.concatenate(got), np.repeat(n, [len(g) for g in got]))
+            rows = [(encoding.encode_ordinary(" " + w), n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w]
+            if rows:
+                np.add.at(total, np.concatenate([g for g, _ in rows]), np.repeat([n for _, n in rows], [len(g) for g, _ in rows]))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
@@ -92,42 +130,18 @@ def starting_words(path: str) -> np.ndarray:
     return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(size)])
 
 
-def classes_of(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each subword id, log10 of its share of the class, and which classes begin a word.
-
-    Frequent ids are classes of their own; the others are binned by rank to
-    equal weight, those that begin a word apart. The end of a text counts as a
-    beginning: it follows a whole word.
-    """
-    own = CLASSES - 65
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    of = np.empty(len(counts), np.int64)
-    of[order[:own]] = np.arange(min(own, len(order)))
-    starts = np.zeros(CLASSES, np.float32)
-    starts[END] = 1
-    starts[of[order[:own]]] = begins[order[:own]]
-    for half, kind in enumerate((True, False)):
-        rest = order[own:][begins[order[own:]] == kind]
-        weight = np.cumsum(counts[rest] + 1.0)
-        if len(rest):
-            of[rest] = own + 32 * half + np.minimum(31, (weight * 32 / weight[-1]).astype(np.int64))
-        starts[own + 32 * half : own + 32 * (half + 1)] = kind
-    total = np.bincount(of, counts + 1.0, CLASSES)
-    return of, np.log10((counts + 1.0) / total[of]), starts  # shares sum to one in each class
-
-
-def class_pairs(words: DataFrame, path: str, of: np.ndarray) -> np.ndarray:
-    """Log share of each class after each other one, from all words' counts; after a word comes any first class, by its share."""
+def class_pairs(words: DataFrame, path: str, vocabulary: Vocabulary, texts: int) -> np.ndarray:
+    """Log share of each class after each other one, counted inside all training words; after a word comes any first class, by its share, or the end, once a text."""
     cells = CLASSES * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = subwords(path)[0].encode_ordinary, np.zeros(cells + 2 * CLASSES)
+        encode, of, total = subwords(path)[0].encode_ordinary, vocabulary.of, np.zeros(cells + 2 * CLASSES)
         for b in batches:
-            each = [of[encode(" " + w)] if w else np.array([END]) for w in b.column("word").to_pylist()]
-            if not each:
+            rows = [(of[encode(" " + w)], n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) if w]
+            if not rows:
                 continue
-            n, size = b.column("n").to_numpy().astype(np.float64), np.array([len(e) for e in each])
-            flat, last = np.concatenate(each), np.cumsum(size) - 1
+            n, size = np.array([n for _, n in rows], np.float64), np.array([len(e) for e, _ in rows])
+            flat, last = np.concatenate([e for e, _ in rows]), np.cumsum(size) - 1
             inner = np.delete(np.arange(len(flat)), last)
             total[:cells] += np.bincount(flat[inner] * CLASSES + flat[inner + 1], np.repeat(n, size)[inner], cells)
             total[cells : cells + CLASSES] += np.bincount(flat[last - size + 1], n, CLASSES)
@@ -138,7 +152,10 @@ def class_pairs(words: DataFrame, path: str, of: np.ndarray) -> np.ndarray:
     got = words.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(cells + 2 * CLASSES)
     total[got.column("id").to_numpy()] = got.column("n").to_numpy()
-    pairs, first, last = total[:cells].reshape(CLASSES, CLASSES), total[cells : cells + CLASSES] + 1e-3, total[cells + CLASSES :]
+    pairs, first, last = total[:cells].reshape(CLASSES, CLASSES), total[cells : cells + CLASSES], total[cells + CLASSES :]
+    first[END_CLASS] = texts
+    last[END_CLASS] = texts  # a text begins as if after an end
+    first = first + 1e-3
     pairs = pairs + last[:, None] * (first / first.sum())
     any_ = pairs.sum(0) + 1e-3
     pairs = pairs + any_ / any_.sum()
@@ -146,87 +163,79 @@ def class_pairs(words: DataFrame, path: str, of: np.ndarray) -> np.ndarray:
 
 
 class Attention:
-    """One causal self-attention layer and one feed-forward layer, both with residuals, over classes; logits start from the counted pairs ``W``, which stay."""
+    """Causal self-attention and a feed-forward layer, both with residuals, over vectors of subword ids.
+
+    It predicts the class of the next id; the id follows from its class by its
+    share. Logits add the table ``W`` of class pairs, which begins with the
+    counted ones and is learnt on like all else.
+    """
 
     def __init__(self, pairs: np.ndarray, seed: int = 3):
         random = np.random.default_rng(seed)
         d, draw = WIDTH, lambda *s: (random.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
         self.p = {
-            "E": (random.standard_normal((CLASSES, d)) * 0.5).astype(np.float32), "P": (random.standard_normal((WINDOW, d)) * 0.1).astype(np.float32),
+            "E": (random.standard_normal((VECTORS, d)) * 0.5).astype(np.float32), "P": (random.standard_normal((WINDOW, d)) * 0.1).astype(np.float32),
             "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": draw(d, d) * 0.5, "A": draw(d, 2 * d), "a": np.zeros(2 * d, np.float32), "B": draw(2 * d, d) * 0.5,
-            "U": draw(d, CLASSES) * 0.1, "u": np.zeros(CLASSES, np.float32), "W": pairs.astype(np.float32),
+            "U": draw(d, CLASSES) * 0.1, "W": pairs.astype(np.float32),
         }
-        self.ones = np.ones(CLASSES, np.float32)
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-    def forward(self, x: np.ndarray, first: int = 0) -> tuple:
-        p = self.p
-        e = p["E"][x] + p["P"]
-        q, k, v = e @ p["Q"] * (1 / math.sqrt(WIDTH)), e @ p["K"], e @ p["V"]
-        s = q[:, first:] @ k.transpose(0, 2, 1) + self.mask[first:]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        c = s @ v
-        h = e[:, first:] + c @ p["O"]
-        r = np.maximum(h @ p["A"] + p["a"], 0)
-        g = h + r @ p["B"]
-        return e, q, k, v, s, c, h, r, g
-
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log of each target's probability, and of that of any class of ``starts``, for the targets after the context."""
+    def forward(self, x: np.ndarray, c: np.ndarray) -> tuple:
+        """Activations and exponentials of the logits, with their sums, of the places after the context."""
         p, b = self.p, len(x)
         e = p["E"][x] + p["P"]
-        # One product for all three projections; scores and logits are small, so their exponentials need no shift.
         qkv = (e.reshape(-1, WIDTH) @ np.concatenate([p["Q"] * (1 / math.sqrt(WIDTH)), p["K"], p["V"]], axis=1)).reshape(b, WINDOW, 3 * WIDTH)
-        q, k, v = qkv[:, CONTEXT:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-        s = np.matmul(np.ascontiguousarray(q), np.ascontiguousarray(k.transpose(0, 2, 1)))
-        np.minimum(s, 60, out=s)
+        q, k, v = (np.ascontiguousarray(t) for t in (qkv[:, CONTEXT:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]))
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
         s *= self.seen
-        c = np.matmul(s, np.ascontiguousarray(v)) / s.sum(-1, keepdims=True)
-        h = e[:, CONTEXT:].reshape(-1, WIDTH) + c.reshape(-1, WIDTH) @ p["O"]
-        g = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]
-        logits = np.column_stack([g, self.ones[:1].repeat(len(g))]) @ np.concatenate([p["U"], p["u"][None]])
-        logits += p["W"][x[:, CONTEXT:].ravel()]
-        target = logits[np.arange(len(g)), y.ravel()].astype(np.float64)
-        if np.abs(g).max() * np.abs(p["U"]).sum(0).max() + np.abs(p["u"]).max() > 80:
-            top = logits.max(-1, keepdims=True)
-            logits, target = logits - top, target - top[:, 0]
-        np.exp(logits, out=logits)
-        sums = np.log((logits @ np.stack([self.ones, starts], axis=1)).astype(np.float64) + 1e-30)
-        return (target - sums[:, 0]).reshape(y.shape), (sums[:, 1] - sums[:, 0]).reshape(y.shape)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        p, (e, q, k, v, s, c, h, r, g) = self.p, self.forward(x)
-        z = g @ p["U"] + p["u"] + p["W"][x]
+        s /= s.sum(-1, keepdims=True) + 1e-30
+        m = np.matmul(s, v).reshape(-1, WIDTH)
+        h = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, WIDTH) + m @ p["O"]
+        r = np.maximum(h @ p["A"] + p["a"], 0)
+        g = h + r @ p["B"]
+        z = g @ p["U"]
+        z += p["W"][c]
         z -= z.max(-1, keepdims=True)
-        z = np.exp(z)
-        z /= z.sum(-1, keepdims=True)
-        rows, cols = np.indices(y.shape)
-        n = max(1.0, float(live.sum()))
-        loss = -float((np.log(z[rows, cols, y] + 1e-30) * live).sum()) / n
-        z[rows, cols, y] -= 1
-        z *= (live / n)[:, :, None]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        d = {"U": flat(g).T @ flat(z), "u": flat(z).sum(0)}
+        return e, q, k, v, s, m, h, r, g, z
+
+    def log_probabilities(self, x: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log of each target class's probability; ``x`` are input vectors, ``c`` the classes before the targets ``y`` (both flat)."""
+        z = self.forward(x, c)[-1]
+        target = z[np.arange(len(y)), y].astype(np.float64)
+        np.exp(z, out=z)
+        return target - np.log(z.sum(-1, dtype=np.float64))
+
+    def gradients(self, x: np.ndarray, c: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over the targets that are ``live``."""
+        p, (e, q, k, v, s, m, h, r, g, z) = self.p, self.forward(x, c)
+        np.exp(z, out=z)
+        weight = live / max(1.0, float(live.sum()))
+        z *= (weight / z.sum(-1))[:, None]
+        z[np.arange(len(y)), y] -= weight
+        b = len(x)
+        d = {"U": g.T @ z, "W": summed(c, z, CLASSES)}
         dg = z @ p["U"].T
-        d["B"] = flat(r).T @ flat(dg)
+        d["B"] = r.T @ dg
         dr = (dg @ p["B"].T) * (r > 0)
-        d["A"], d["a"] = flat(h).T @ flat(dr), flat(dr).sum(0)
+        d["A"], d["a"] = h.T @ dr, dr.sum(0)
         dh = dg + dr @ p["A"].T
-        d["O"] = flat(c).T @ flat(dh)
-        dc = dh @ p["O"].T
-        ds, dv = dc @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dc
+        d["O"] = m.T @ dh
+        dm = (dh @ p["O"].T).reshape(b, STRIDE, WIDTH)
+        ds, dv = np.matmul(dm, v.transpose(0, 2, 1)), np.matmul(s.transpose(0, 2, 1), dm)
         ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        dq, dk = ds @ k * (1 / math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
-        d["Q"], d["K"], d["V"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+        flat = e.reshape(-1, WIDTH)
+        dq *= 1 / math.sqrt(WIDTH)
+        tail = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, WIDTH)
+        # ``q`` already holds the scale, so only the gradients of the projections need it.
+        d["Q"], d["K"], d["V"] = tail.T @ dq.reshape(-1, WIDTH), flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
+        de = (dk.reshape(-1, WIDTH) @ p["K"].T + dv.reshape(-1, WIDTH) @ p["V"].T).reshape(b, WINDOW, WIDTH)
+        de[:, CONTEXT:] += (dh + dq.reshape(-1, WIDTH) @ p["Q"].T).reshape(b, STRIDE, WIDTH)
         d["P"] = de.sum(0)
-        d["E"] = np.zeros_like(p["E"])
-        np.add.at(d["E"], x.ravel(), flat(de))
-        return d, loss
+        d["E"] = summed(x.ravel(), de.reshape(-1, WIDTH), VECTORS)
+        return d
 
     def pack(self) -> bytes:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float32).tobytes()
@@ -240,7 +249,19 @@ class Attention:
         return self
 
 
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each number."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[at[begin]] = np.add.reduceat(rows[order], begin)
+    return out
+
+
 class Adam:
+    """Steps of bounded size along smoothed gradients, one for each parameter."""
+
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.t = model, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -248,98 +269,64 @@ class Adam:
 
     def step(self, d: dict[str, np.ndarray]) -> None:
         self.t += 1
+        rate = self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in d.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            self.model.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
-
-
-class Words:
-    """Class bytes, log10 of the ids' shares of their classes, log10 of the base (None: to be joined) and weight by count of each word."""
-
-    def __init__(self, path: str, of: np.ndarray, share: np.ndarray, base: dict[str, float], weight: Callable[[float], float], limit: int = 250_000):
-        encode, of_id, share_of = subwords(path)[0].encode_ordinary, of.tolist(), share.tolist()
-
-        def make(word: bytes) -> tuple[bytes, float, float | None, float]:
-            text = word.decode()
-            ids = encode(" " + text)
-            known = base.get(text)
-            return bytes([of_id[i] for i in ids]), sum([share_of[i] for i in ids]), known, 0.0 if known is None else weight(known)
-
-        self.each = Bounded(make, limit)
-
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.model.p[k] -= rate * m / (np.sqrt(v) + 1e-8)
 
-class Counted:
-    """How a word's count and its spelling share its probability: ``share`` of the discounted relative count; spelling has all the rest."""
 
-    def __init__(self, total: int, distinct: int, share: float = 0.4, discount: float = 0.75):
-        self.total, self.denominator, self.share, self.discount = total, total + distinct + 1, share, discount
-        self.spelt = 1 - share + share * discount * distinct / total if total else 1.0
+class Windows:
+    """The ids of some texts, in windows that overlap by the context: each id, and each text's end, is the target of one window.
 
-    def __call__(self, base: float) -> float:
-        n = 10.0**base * self.denominator - 1
-        return self.share * max(0.0, n - self.discount) / self.total if self.total else 0.0
-
-
-def training_windows(docs: DataFrame, words_args: tuple) -> DataFrame:
-    """Each training text's classes in windows as in scoring: it follows a context of ends, windows overlap by the context, and all of it lies in some window's targets, the end too.
-
-    ``window`` holds the WINDOW inputs and the last target; ``n`` is how many classes after the context are the text's.
+    A text follows a context of ends. ``live`` marks the targets that are a
+    text's; ``length`` has the number of ids of each text, with its end.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(words_args)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = Words(*sent.value).each
-        for part in text_slices(batches, 500_000):
-            out, n = [], []
-            for raw in raw_bytes(part.column("text")):
-                body = b"".join([each[w][0] for w in raw.lower().split()])
-                room = bytes([END]) * (CONTEXT + 1) + body + bytes([END]) * (STRIDE + 1)
-                for a in range(0, len(body) + 1, STRIDE):
-                    out.append(room[a : a + WINDOW + 1].ljust(WINDOW + 1, bytes([END])))
-                    n.append(min(STRIDE, len(body) + 1 - a))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n, pa.int32())], names=["window", "n"])
-
-    return docs.select("text").mapInArrow(run, "window binary, n int")
-
-
-def train(windows: DataFrame, model: Attention, rounds: int = 2, batch: int = 32, rate: float = 5e-3) -> Attention:
-    """Local training on all partitions, then the weighted mean of their weights; ``rounds`` times.
-
-    All windows are learnt from, each where it is. What goes to the driver is
-    one set of weights a round.
+    def __init__(self, texts: list[bytes], ids: Bounded, end: int):
+        streams = [np.frombuffer(b"".join([ids[w] for w in t.lower().split()]), np.uint16) for t in texts]
+        self.length = np.array([len(s) + 1 for s in streams], np.int64)
+        windows = -(-self.length // STRIDE)
+        room = CONTEXT + 1 + windows * STRIDE
+        begin = np.cumsum(room) - room
+        self.flat = np.full(int(room.sum()), end, np.int64)
+        place = np.repeat(begin + CONTEXT + 1 - (np.cumsum(self.length - 1) - (self.length - 1)), self.length - 1) + np.arange(int((self.length - 1).sum()))
+        self.flat[place] = np.concatenate([np.empty(0, np.uint16), *streams])
+        self.owner = np.repeat(np.arange(len(streams)), windows)
+        self.number = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.start = begin[self.owner] + self.number * STRIDE
+
+    def batch(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the windows with one more, and which targets are live."""
+        ids = self.flat[self.start[some][:, None] + np.arange(WINDOW + 1)]
+        return ids, self.number[some][:, None] * STRIDE + np.arange(STRIDE) < self.length[self.owner[some]][:, None]
+
+
+def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention, rounds: int = 2, batch: int = 64, rate: float = 4e-3) -> Attention:
+    """Local training on all partitions, then the weighted mean of their weights; ``rounds`` times, each on its part of the texts.
+
+    All windows of all texts are learnt from, each once, where it is: a text
+    belongs to one round by its hash. What goes to the driver is one set of
+    weights a round.
     """
-    spark = windows.sparkSession
+    spark = docs.sparkSession
     nothing = np.zeros((CLASSES, CLASSES))
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast(model.pack())
+        sent = spark.sparkContext.broadcast((model.pack(), vocabulary))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate / (1 + r)) -> Iterator[pa.RecordBatch]:
-            model = Attention(nothing).unpack(sent.value)
-            adam, held, seen, steps, kept = Adam(model, rate), [], 0, 0, []
-
-            def update(rows: list[tuple[bytes, int]]) -> None:
-                x = np.frombuffer(b"".join([r for r, _ in rows]), np.uint8).reshape(len(rows), WINDOW + 1).astype(np.int64)
-                live = (np.arange(WINDOW) >= CONTEXT) & (np.arange(WINDOW) < CONTEXT + np.array([n for _, n in rows])[:, None])
-                adam.step(model.gradients(x[:, :-1], x[:, 1:], live.astype(np.float32))[0])
-
-            for b in batches:
-                for row in zip(b.column("window").to_pylist(), b.column("n").to_pylist(), strict=True):
-                    held.append(row)
-                    seen += 1
-                    if len(held) == batch:
-                        update(held)
-                        steps += 1
-                        if len(kept) < 40:
-                            kept.append(held)
-                        held = []
-            if held:
-                update(held)
-                kept.append(held)
-                steps += 1
-            while kept and steps < 120:  # few windows: learn from them again
-                update(kept[steps % len(kept)])
-                steps += 1
+            raw, voc = sent.value
+            model, ids, seen = Attention(nothing).unpack(raw), token_ids(path), 0
+            adam, random = Adam(model, rate), np.random.default_rng(5)
+            for part in text_slices(batches, 500_000):
+                w = Windows(raw_bytes(part.column("text")), ids, voc.end)
+                order = random.permutation(len(w.start))
+                for a in range(0, len(order), batch):
+                    i, live = w.batch(order[a : a + batch])
+                    c = voc.of[i[:, CONTEXT:]]
+                    adam.step(model.gradients(voc.vector[i[:, :-1]], c[:, :-1].ravel(), c[:, 1:].ravel(), live.ravel().astype(np.float32)))
+                    seen += int(live.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "n"])
 
@@ -352,34 +339,51 @@ def train(windows: DataFrame, model: Attention, rounds: int = 2, batch: int = 32
                 yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
         kind = "weights binary, n long"
-        each = windows.mapInArrow(learn, kind)
-        got = each.repartition(8).mapInArrow(mean, kind).repartition(1).mapInArrow(mean, kind).collect()
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
+        got = own.mapInArrow(learn, kind).repartition(8).mapInArrow(mean, kind).repartition(1).mapInArrow(mean, kind).collect()
         if got:
             model.unpack(bytes(got[0].weights))
     return model
 
 
+def text_scores(model: Attention, vocabulary: Vocabulary, texts: list[bytes], ids: Bounded, batch: int = 64) -> np.ndarray:
+    """log10 of the model's probability of each text's ids and its end."""
+    w = Windows(texts, ids, vocabulary.end)
+    out = np.zeros(len(texts))
+    for a in range(0, len(w.start), batch):
+        some = np.arange(a, min(a + batch, len(w.start)))
+        i, live = w.batch(some)
+        c = vocabulary.of[i[:, CONTEXT:]]
+        log = model.log_probabilities(vocabulary.vector[i[:, :-1]], c[:, :-1].ravel(), c[:, 1:].ravel()).reshape(live.shape) + vocabulary.share[i[:, CONTEXT + 1 :]]
+        np.add.at(out, w.owner[some], (log * live).sum(1))
+    return out / math.log(10)
+
+
+def fitted(docs: DataFrame, counts: DataFrame, path: str, texts: int) -> tuple[Vocabulary, Attention]:
+    """The vocabulary and the model of training texts, whose words are counted already."""
+    vocabulary = Vocabulary(subword_counts(counts, path), starting_words(path))
+    return vocabulary, train(docs, path, vocabulary, Attention(class_pairs(counts, path, vocabulary, texts)))
+
+
 def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row.
 
     Words are what ASCII white space separates, A-Z lower-cased, then one end.
     The base counts all training words; the counts of at most ``frequent`` words
-    are broadcast, those of all others joined. The model predicts a class of
-    subwords from the subwords before (attention over a window), and each
-    subword from its class by its share in the training texts. From these come
-    the probabilities of spelling a word and ending it. A word's probability is
-    0.4 of its discounted share of the training words and for the rest that of its spelling; all are normalised, so a
-    text's score is the log10 of a probability. Every training
-    text is counted and learnt from, whole. Windows overlap by 16
-    tokens of context and score each token once. Defined results: a null text is
-    empty and has one token, the end; a null doc_id is learnt from and isn't
-    held out; repeated rows stay and count; an empty table gives no rows; other
-    columns are not read.
+    are broadcast, those of all others joined. The model reads and predicts
+    subword ids: attention over a window gives the class of the next id, the
+    id's share of its class the id. ``score`` is the log10 of the probability of
+    all ids of the text and its end; given what comes before, the probabilities
+    of all ids and the end add up to one. Every training text is counted and
+    learnt from, whole. Windows overlap by 16 tokens of context and score each
+    token once. Defined results: a null text is empty and has one token, the
+    end; a null doc_id is learnt from and isn't held out; repeated rows stay and
+    count; an empty table gives no rows; other columns are not read.
     """
     spark, path = docs.sparkSession, ranks or public_tokenizers.path(RANKS)
     docs = texts_of(docs)
-    counts, _ = materialise(word_counts(training(docs)), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    counts, counts_path = materialise(word_counts(training(docs)), "word-counts")
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))).first()
     denominator = total + distinct + 1
     bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).count().orderBy(F.desc("bin")).collect()  # at most 8 for each doubling
     least, many = math.inf, 0
@@ -388,87 +392,40 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
         if many > frequent:
             break
         least = b.bin
-    base = {r.word: math.log10((r.n + 1) / denominator) for r in counts.where(F.floor(F.log2("n") * 8) >= least).toLocalIterator()} if least < math.inf else {}
-    end = base.pop("", None)
-    if end is None:
-        row = counts.where("word = ''").first()
-        end = math.log10(((row.n if row else 0) + 1) / denominator)
-    pieces = subword_counts(counts, path)
-    of, share, starts = classes_of(pieces, starting_words(path))
-    counted = Counted(total, distinct)
-    args = (path, of, share, base, counted)
-    windows, _ = materialise(training_windows(training(docs), args), "windows")
-    model = train(windows, Attention(class_pairs(counts, path, of)))
-    sent = spark.sparkContext.broadcast((model.pack(), args, end, total > 0, starts, counted))
+    base = {r.word.encode(): math.log10((r.n + 1) / denominator) for r in counts.where(F.floor(F.log2("n") * 8) >= least).toLocalIterator()} if least < math.inf else {}
+    base.pop(b"", None)
+    vocabulary, model = fitted(training(docs), counts, path, ends)
+    sent = spark.sparkContext.broadcast((model.pack(), vocabulary, base, math.log10((ends + 1) / denominator)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, args, end, known, starts, counted = sent.value
-        model, each = Attention(np.zeros((CLASSES, CLASSES))).unpack(raw), Words(*args).each
+        raw, vocabulary, base, end = sent.value
+        model, ids = Attention(np.zeros((CLASSES, CLASSES))).unpack(raw), token_ids(path)
         for part in text_slices(batches, 500_000):
-            streams, shares, weights, spans, bases, sizes, rare, sum_of_sizes = [], [], [], [], [], [], [], 0
-            for text in raw_bytes(part.column("text")):
+            texts = raw_bytes(part.column("text"))
+            bases, sizes, rare = [], [], []
+            for text in texts:
                 words = text.lower().split()
-                got = [each[w] for w in words]
-                streams.append(b"".join([g[0] for g in got]))
-                shares += [g[1] for g in got] + [0.0]
-                weights += [g[3] for g in got] + [counted(end)]
-                spans += [len(g[0]) for g in got] + [1]
-                bases.append(math.fsum(g[2] for g in got if g[2] is not None) + end)
-                others: dict[bytes, list[int]] = {}
-                for k, (w, g) in enumerate(zip(words, got, strict=True)):
-                    if g[2] is None:
-                        others.setdefault(w, []).append(k + sum_of_sizes)
-                rare.append(others)
-                sum_of_sizes += len(words) + 1
+                got = list(map(base.get, words))
+                bases.append(math.fsum(g for g in got if g is not None) + end)
                 sizes.append(len(words) + 1)
-            length = np.array([len(s) + 1 for s in streams])
-            windows = -(-length // STRIDE)
-            room = CONTEXT + 1 + windows * STRIDE
-            begin = np.cumsum(room) - room
-            flat = np.full(int(room.sum()), END, np.int64)
-            place = np.repeat(begin + CONTEXT + 1 - (np.cumsum(length - 1) - (length - 1)), length - 1) + np.arange(int((length - 1).sum()))
-            flat[place] = np.frombuffer(b"".join(streams), np.uint8)
-            owner = np.repeat(np.arange(len(streams)), windows)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            start = begin[owner] + number * STRIDE
-            target, opening = np.empty(int(length.sum())), np.empty(int(length.sum()))
-            token = np.cumsum(length) - length
-            for a in range(0, len(owner), 32):
-                at, own = start[a : a + 32], owner[a : a + 32]
-                inside = number[a : a + 32, None] * STRIDE + np.arange(STRIDE)
-                live = inside < length[own][:, None]
-                place = (token[own][:, None] + inside)[live]
-                log, starting = model.log_probabilities(flat[at[:, None] + np.arange(WINDOW)], flat[at[:, None] + np.arange(CONTEXT + 1, WINDOW + 1)], starts)
-                target[place], opening[place] = log[live], starting[live]
-            # A word is spelt by its subwords, given that one begins, and ends where the next begins; the end of a text closes it.
-            first = np.cumsum(spans) - spans
-            closing = np.append(opening[first[1:]], 0.0)
-            last = np.cumsum(sizes) - 1
-            closing[last] = 0.0
-            spelt = (np.add.reduceat(target, first) - opening[first] + closing) / math.log(10) + np.array(shares)
-            word = np.log10(np.array(weights) + counted.spelt * 10.0 ** np.maximum(spelt, -300.0))
-            for x in rare:  # their counts are joined below
-                for at in x.values():
-                    word[at] = 0.0
-            score = np.add.reduceat(word, np.append(0, last[:-1] + 1))
-            spelt = np.maximum(spelt, -300.0)
-            missing = [sum(map(len, x.values())) for x in rare]
-            rare = [[{"word": w.decode(), "spelt": spelt[at].tolist()} for w, at in x.items()] for x in rare]
+                rare.append(Counter(w for w, g in zip(words, got, strict=True) if g is None))
+            known = [n - sum(x.values()) - (not ends) for n, x in zip(sizes, rare, strict=True)]
+            listed = [[{"word": w.decode(), "times": n} for w, n in x.items()] for x in rare]
+            score = text_scores(model, vocabulary, texts, ids)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([n - m if known else 0 for n, m in zip(sizes, missing, strict=True)], pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("spelt", pa.list_(pa.float64()))])))],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.array(listed, pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))],
                 names=["doc_id", "n_tokens", "known", "base", "score", "rare"],
             )
 
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:string,spelt:array<double>>>"
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:string,times:bigint>>"
     scored, _ = materialise(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.inline("rare").alias("word", "spelt"))
-    joined = rare.join(counts, "word", "left")
-    c, times = F.coalesce("n", F.lit(0)), F.size("spelt")
-    weight = F.lit(counted.share) * F.greatest(F.lit(0.0), c - counted.discount) / F.lit(float(max(total, 1)))
-    own = F.aggregate("spelt", F.lit(0.0), lambda sum_, x: sum_ + F.log10(weight + F.lit(counted.spelt) * F.pow(F.lit(10.0), x)))
-    rest = joined.groupBy("row").agg(F.sum(times * F.log10((c + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"), F.sum(own).alias("more_score"))
-    out = scored.join(rest, "row", "left")
-    return out.select("doc_id", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+    rare = scored.select("row", F.inline("rare").alias("word", "times"))
+    c = F.coalesce("n", F.lit(0))
+    rest = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    out = scored.join(rest, "row", "left").select("doc_id", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    out, _ = materialise(out, "lm-scores")
+    discard(spark, counts_path)
+    return out
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
