@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Bounded, raw_bytes, table, text_slices
+from cairn.llm.common import Bounded, materialise, raw_bytes, table, text_slices
 
 EDGES = b".,;:!?|()[]{}<>\"'`*_-#"
 #: For items of at least 13 tokens: five tokens next to each other, or five of six with one ignored inside. If at
@@ -19,7 +19,10 @@ EDGES = b".,;:!?|()[]{}<>\"'`*_-#"
 #: length, see ``short_run``.
 MASKS = [(0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5)]
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-BLOCK_BYTES = 16_000_000
+#: Text of the test items that one index holds; about 20 bytes of index for each.
+BLOCK_BYTES = 2_000_000
+#: Hits that are expanded at once.
+HITS = 1_000_000
 
 _tokens = Bounded(lambda w: xxhash.xxh64_intdigest(w.strip(EDGES)), 500_000)
 _EMPTY = xxhash.xxh64_intdigest(b"")
@@ -58,7 +61,7 @@ class SeedIndex:
     """Masked hashes of one block of test items."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], overlap: int, similarity: float):
-        self.ids, self.overlap, self.similarity = ids, overlap, similarity
+        self.ids, self.overlap, self.similarity, self.blocks = ids, overlap, similarity, 1
         h, size = token_hashes(texts)
         self.items = np.split(h, np.cumsum(size)[:-1]) if len(texts) else []
         code, item, place = [], [], []
@@ -93,10 +96,14 @@ class SeedIndex:
             at = np.flatnonzero(self.seen[(c >> np.uint64(44)).astype(np.int64)])
             at = at[owner[at] == owner[at + mask[-1]]]
             lo, hi = np.searchsorted(self.code, c[at], "left"), np.searchsorted(self.code, c[at], "right")
-            n = hi - lo
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            found.append(np.stack([owner[at], self.item[which], at - self.place[which]], axis=1))
+            many = hi - lo
+            # A repeated word in both texts hits everywhere; what counts are the distinct alignments, which are linear.
+            for cut in np.split(np.arange(len(at)), np.searchsorted(np.cumsum(many), np.arange(HITS, int(many.sum()), HITS))):
+                n = many[cut]
+                which = np.repeat(lo[cut], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                place = np.repeat(at[cut], n)
+                if len(which):
+                    found.append(np.unique(np.stack([owner[place], self.item[which], place - self.place[which]], axis=1), axis=0))
         if not found:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -127,14 +134,16 @@ def best_run(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     return longest
 
 
-def indexes(benchmark: DataFrame, overlap: int, similarity: float) -> list[SeedIndex]:
-    """The test items in blocks of about 16 MB of text; one block is held and sent at a time."""
+def indexes(benchmark: DataFrame, overlap: int, similarity: float) -> Iterator[SeedIndex]:
+    """The test items in blocks of about BLOCK_BYTES of text; the next is made when the one before has been used."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
-        yield SeedIndex(rows.column("item_id").to_pylist(), raw_bytes(rows.column("text").combine_chunks()), overlap, similarity)
+        index = SeedIndex(rows.column("item_id").to_pylist(), raw_bytes(rows.column("text").combine_chunks()), overlap, similarity)
+        index.blocks = blocks
+        yield index
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8) -> DataFrame:
@@ -161,12 +170,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarit
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["doc_id", "item_id", "first_token", "end_token", "equal_tokens", "item_tokens"])
 
         part = docs.mapInArrow(run, "doc_id long, item_id long, first_token long, end_token long, equal_tokens long, item_tokens long")
+        if index.blocks > 1:  # done before the next block is sent
+            part, _ = materialise(part, "overlaps")
+            sent.destroy()
         found = part if found is None else found.unionAll(part)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text overlaps with no test item (see ``overlaps``)."""
+    """The rows of ``docs``, all columns, whose text overlaps with no test item (see ``overlaps``).
+
+    Defined results: rows with null or empty texts stay, repeated ones too; an
+    empty benchmark keeps all rows, and an empty table gives none.
+    """
     for index in indexes(benchmark, overlap, similarity):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -178,6 +194,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13,
                 yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if index.blocks > 1:
+            docs, _ = materialise(docs, "decontaminated")
+            sent.destroy()
     return docs
 
 
