@@ -126,13 +126,25 @@ SHARES = ("last_share", "domain_share", "part_share")
 
 
 def with_shares(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` with the columns ``SHARES``, from all of ``known`` (``host``, ``path``, ``y``); 0.5 for suffixes that it lacks."""
+    """``rows`` with the columns ``SHARES``, from all of ``known`` (``host``, ``path``, ``y``); 0.5 for suffixes that it lacks.
+
+    Rows that are labelled themselves (``y``, if there, isn't null) get the
+    shares among hosts of the other half by hash, so no row's own label, nor its
+    host's, is in its features.
+    """
     labels = F.split("host", r"\.")
+    half = F.pmod(F.xxhash64("host"), F.lit(2))
     keys = [F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.split_part(F.ltrim(F.col("path"), F.lit("/")), F.lit("/"), F.lit(1))]
-    counts = known.select("y", F.explode(F.array_distinct(F.array(*keys))).alias("key")).groupBy("key").agg(((F.sum("y") + 1) / (F.count("y") + 2)).alias("share"))
-    counts, _ = materialise(counts, "suffixes")
+    each = known.select("y", half.alias("half"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    sums = [F.sum(F.when(F.col("half") == h, v).otherwise(0)).alias(f"{n}{h}") for h in (0, 1) for n, v in (("blocked", F.col("y")), ("all", F.lit(1)))]
+    counts, _ = materialise(each.groupBy("key").agg(*sums), "suffixes")
+    share = lambda b, n: (b + 1) / (n + 2)
+    labelled = F.col("y").isNotNull() if "y" in rows.columns else F.lit(False)
     for name, key in zip(SHARES, keys, strict=True):
-        rows = rows.withColumn("__key", key).join(counts.select(F.col("key").alias("__key"), F.col("share").alias(name)), "__key", "left").drop("__key").fillna(0.5, [name])
+        rows = rows.withColumn("__key", key).join(counts.withColumnRenamed("key", "__key"), "__key", "left")
+        other = F.when(half == 0, share(F.col("blocked1"), F.col("all1"))).otherwise(share(F.col("blocked0"), F.col("all0")))
+        whole = share(F.col("blocked0") + F.col("blocked1"), F.col("all0") + F.col("all1"))
+        rows = rows.withColumn(name, F.coalesce(F.when(labelled, other).otherwise(whole), F.lit(0.5))).drop("__key", "blocked0", "all0", "blocked1", "all1")
     return rows
 
 
@@ -140,9 +152,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, sample: i
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (of the trees: 1 is block) of each row.
 
     The rules judge the URLs that they fit. The others get the verdict of the
-    trees, which learn from URLs that the rules label, at most ``sample`` of
-    them, chosen by hash; how often each suffix is blocked is counted over all
-    labelled rows and joined, whatever the number of suffixes. Defined results:
+    trees, which learn from distinct URLs that the rules label, at most
+    ``sample`` of them, chosen by hash; how often each suffix is blocked is
+    counted over all labelled rows (for the trees' own rows over hosts of the
+    other half) and joined, whatever the number of suffixes. Defined results:
     null and other URLs without ``://`` have an empty host and path and no rule,
     and go to the trees as empty; without any labelled URL the score is 0.5 and
     the verdict allow; a null page_id and repeated rows stay; an empty table
@@ -154,9 +167,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, sample: i
     rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
-    known = rows.where("rule is not null").select("url", "host", "path", blocked.cast("int").alias("y"))
-    rows = with_shares(rows, known)
-    got = rows.where("rule is not null").withColumn("y", blocked.cast("int")).orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
+    rows = rows.withColumn("y", F.when(F.col("rule").isNotNull(), blocked.cast("int")))
+    rows = with_shares(rows, rows.where("y is not null").select("host", "path", "y"))
+    got = rows.where("y is not null").select("url", "host", "path", "y", *SHARES).distinct().orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
     x = np.array([lexical(r.url, r.host, r.path, [r[c] for c in SHARES]) for r in got], float) if got else np.empty((0, 1))
     sent = spark.sparkContext.broadcast(Trees().fit(x, np.array([r.y for r in got], float)))
 

@@ -206,6 +206,23 @@ def test_neighbours_recall(spark):
     assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 500] == [501, 502, 503, 504, 505]
 
 
+def test_recall_does_not_sink_with_the_batch(spark):
+    x = np.random.default_rng(4).standard_normal((10_000, 32)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    try:
+        got = ann_search.nearest(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 10_000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 1000 and hit / 1000 >= 0.9
+
+
 def test_licenses(spark):
     texts = ["before\nReleased under the MIT License.\nafter", "my permission slip\nand so on", "licensed  under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", None, ""]
     got = {(r.doc_id, r.license) for r in license_scan.licenses(table(spark, texts, False)).collect()}
@@ -241,6 +258,23 @@ def test_changed_words_link_lines(spark):
     assert len(want) > 80 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_one_letter_links_lines_of_any_length(spark):
+    """Recall against brute-force edit similarity in each band of lengths, one letter changed."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 8)))
+    bands = [(2, 4), (5, 9), (10, 19), (20, 39), (40, 79), (80, 200)]
+    lines = [(b, " ".join(word() for _ in range(r.randint(*band)))) for b, band in enumerate(bands) for _ in range(40)]
+    texts = [x for _, x in lines]
+    for _, x in lines:
+        at = r.randrange(len(x))
+        texts.append(x[:at] + "z" + x[at + 1 :])
+    n = len(lines)
+    got = {x.doc_id for x in line_dedup.repeated_lines(table(spark, texts, False)).collect()}
+    for b in range(len(bands)):
+        want = [n + i for i in range(n) if lines[i][0] == b and 1 / len(texts[i]) <= 0.2]
+        assert len(set(want) & got) >= 0.9 * len(want), bands[b]
+
+
 def test_line_groups_equal_brute_force():
     r = random.Random(13)
     lines = ["".join(r.choice("abc ") for _ in range(r.randint(3, 40))) for _ in range(60)]
@@ -376,6 +410,26 @@ def test_decontamination_finds_replaced_ends_and_short_items(spark):
     assert got == want
 
 
+def test_trees_judge_urls_without_a_rule(spark):
+    """Blocked hosts have many digits and long queries, others haven't; hosts without a rule are judged alike, by the trees alone."""
+    r = random.Random(31)
+    word = lambda n: "".join(r.choice("abcdefghikl") for _ in range(n))
+
+    def url(bad, tld):
+        host = f"{word(3)}{r.randint(1000, 9999)}.{tld}" if bad else f"{word(9)}.{tld}"
+        return f"https://{host}/{word(5)}" + (f"?a={r.randint(0, 9999)}&b={r.randint(0, 9999)}&c=1" if bad else "")
+
+    kinds = [(bool(i % 2), "bad" if i % 2 else "good") for i in range(600)] + [(bool(i % 2), "info") for i in range(300)]
+    pages = spark.createDataFrame([(i, url(*k)) for i, k in enumerate(kinds)] + [(None, url(False, "info")), (0, "x")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, [("bad/", "block"), ("good/", "allow")]).collect()
+    assert len(got) == len(kinds) + 2 and sum(x.page_id is None for x in got) == 1
+    free = [x for x in got if x.rule is None and x.page_id is not None and x.host]
+    assert len(free) == 300 and np.mean([(x.verdict == "block") == kinds[x.page_id][0] for x in free]) > 0.95
+    assert all(x.verdict == ("block" if kinds[x.page_id][0] else "allow") for x in got if x.rule)
+    alone = url_filter.judge_urls(pages, []).collect()
+    assert {(x.rule, x.verdict, x.score) for x in alone} == {(None, "allow", 0.5)}
+
+
 def test_url_shares_of_many_suffixes(spark):
     known = spark.createDataFrame([(f"h{i}.com", "/en/", i % 2) for i in range(1500)], "host string, path string, y int")
     rows = spark.createDataFrame([(i, f"a.h{i}.com", "/xx") for i in range(1501)], "page_id long, host string, path string")
@@ -383,3 +437,5 @@ def test_url_shares_of_many_suffixes(spark):
     assert len(got) == 1501
     assert all(math.isclose(got[i].domain_share, (1 + i % 2) / 3) for i in range(1500))
     assert (got[1500].domain_share, got[0].last_share, got[0].part_share) == (0.5, 751 / 1502, 0.5)
+    own = url_filter.with_shares(known.withColumn("n", known.y), known).collect()
+    assert {x.domain_share for x in own} == {0.5}  # a labelled row's host isn't in its own share
