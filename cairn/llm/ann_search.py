@@ -131,13 +131,14 @@ class Best:
         self.score, self.id = score[keep].reshape(n, self.k), id_[keep].reshape(n, self.k)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, depth: int = 256, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, depth: int = 256, share: float = 0.04, sample: int = SAMPLE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each query (vec_id divisible by ``every``) the ``k`` nearest found by cosine.
 
     The codebooks are fitted on at most ``sample`` vectors, chosen by hash.
     Every vector is encoded and searched: each batch of rows is scored by table
-    lookups and stored norms, its best ``depth`` distinct vectors of each query
-    get the exact cosine of the originals, and the best of all batches are
+    lookups and norms, its best ``depth`` distinct vectors of each query, or
+    ``share`` of them if that is more (so recall doesn't sink with the batch's
+    size), get the exact cosine of the originals, and the best of all batches are
     ranked. Queries are sent in blocks of 4,096. Copies of a vector within a
     batch are scored once, and stand for their ``k + 1`` smallest ids, more of
     which can't be among the nearest. Defined results: vectors that are null,
@@ -188,7 +189,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, depth: int = 256, s
                     approx = -norms[:, None] / 2
                     for m in range(aq.books):
                         approx = approx + part[m][codes[:, m]]
-                    top = min(depth, len(first))
+                    top = min(max(depth, int(share * len(first))), len(first))
                     near = np.argpartition(-approx, top - 1, axis=0)[:top]
                     query = np.repeat(np.arange(near.shape[1]) + a, top)
                     vector = near.T.ravel()
