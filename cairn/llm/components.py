@@ -20,10 +20,10 @@ def with_least(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
     other keys have few rows each and are joined.
     """
     least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
-    found = least.where(F.col("n") > max(HUB_LEAST, 2 * size // HUB_SHARE)).select(key, "m").collect()
-    if not found:
+    found = least.where(F.col("n") > max(HUB_LEAST, 2 * size // HUB_SHARE)).select(key, "m").toArrow()
+    if not found.num_rows:
         return rows.join(least.drop("n"), key)
-    hubs = F.broadcast(rows.sparkSession.createDataFrame(found, least.select(key, "m").schema))
+    hubs = F.broadcast(rows.sparkSession.createDataFrame(found))
     apart = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
     return rows.join(hubs, key).unionByName(apart.join(least.drop("n"), key))
 
