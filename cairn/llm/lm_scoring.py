@@ -21,7 +21,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Words whose counts are broadcast for the base, at most; all other words are joined.
 FREQUENT = 100_000
 #: Classes that the model predicts (the last is the end of a text), and how many of them are single ids.
-CLASSES, SINGLE = 128, 63
+CLASSES, SINGLE = 256, 191
 END_CLASS = CLASSES - 1
 #: Vectors of input ids: the most frequent ids have their own, all others of a class share one.
 VECTORS = 4096
@@ -303,7 +303,7 @@ class Windows:
         return ids, self.number[some][:, None] * STRIDE + np.arange(STRIDE) < self.length[self.owner[some]][:, None]
 
 
-def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention, rounds: int = 2, batch: int = 64, rate: float = 4e-3) -> Attention:
+def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention, rounds: int = 2, batch: int = 32, rate: float = 4e-3) -> Attention:
     """Local training on all partitions, then the weighted mean of their weights; ``rounds`` times, each on its part of the texts.
 
     All windows of all texts are learnt from, each once, where it is: a text
@@ -346,7 +346,7 @@ def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention,
     return model
 
 
-def text_scores(model: Attention, vocabulary: Vocabulary, texts: list[bytes], ids: Bounded, batch: int = 64) -> np.ndarray:
+def text_scores(model: Attention, vocabulary: Vocabulary, texts: list[bytes], ids: Bounded, batch: int = 32) -> np.ndarray:
     """log10 of the model's probability of each text's ids and its end."""
     w = Windows(texts, ids, vocabulary.end)
     out = np.zeros(len(texts))
