@@ -8,6 +8,9 @@ import json
 
 from cairn.llm.common import Bounded
 
+#: Rank of two parts that never merge.
+NEVER = 1 << 62
+
 
 class Vocabulary:
     """Tokens of a byte-level BPE and the order of its merges.
@@ -47,18 +50,17 @@ class Vocabulary:
         if len(piece) > 48:
             return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = [self.rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                break
+        by_text, get = self.pairs is None, self.ids.get if self.pairs is None else self.pairs.get
+        ranks = [get(a + b if by_text else (a, b), NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NEVER:
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            here = parts[i] + parts.pop(i + 1)
+            parts[i] = here
             del ranks[i]
             if i:
-                ranks[i - 1] = self.rank(parts[i - 1], parts[i])
+                ranks[i - 1] = get(parts[i - 1] + here if by_text else (parts[i - 1], here), NEVER)
             if i < len(ranks):
-                ranks[i] = self.rank(parts[i], parts[i + 1])
+                ranks[i] = get(here + parts[i + 1] if by_text else (here, parts[i + 1]), NEVER)
         return parts
 
     def _merge_long(self, piece: bytes) -> list[bytes]:

@@ -30,10 +30,15 @@ class TreeBpe:
     grow until what lies outside can't change any more.
     """
 
-    def __init__(self, ranks_path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = 2048, short: int = 16, memo: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = 2048, short: int = 16, memo: int = 200_000):
         self.vocabulary, self.leaf, self.short = Vocabulary.from_ranks(ranks_path), leaf, short
         self.find = regex.compile(pattern).findall
-        self.pieces = Bounded(lambda piece: tuple(self.vocabulary.ids[t] for t in self.encode_piece(piece.encode())), memo)
+        self.pieces = Bounded(self._piece, memo)
+
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        """Ids of one match, and the same as text."""
+        ids = tuple(self.vocabulary.ids[t] for t in self.encode_piece(piece.encode()))
+        return ids, " ".join(map(str, ids))
 
     def encode_piece(self, piece: bytes) -> list[bytes]:
         """Tokens of one match."""
@@ -97,8 +102,13 @@ class TreeBpe:
                 at += len(m)
             j *= 2
 
+    def encoded(self, text: str) -> tuple[list[int], str]:
+        """Ids, and the same as text, joined by single spaces."""
+        found = list(map(self.pieces.__getitem__, self.matches(text)))
+        return list(chain.from_iterable([ids for ids, _ in found])), " ".join([shown for _, shown in found])
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.matches(text))))
+        return self.encoded(text)[0]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
@@ -126,13 +136,12 @@ def encode_texts(docs: DataFrame, ranks: str | None = None, ids: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        name = {i: str(i) for i in bpe.vocabulary.tokens}
         for part in text_slices(batches):
             n, digests, decoded, kept = [], [], [], []
             for raw in raw_bytes(part.column("text")):
-                got = bpe.encode(raw.decode())
+                got, shown = bpe.encoded(raw.decode())
                 n.append(len(got))
-                digests.append(hashlib.sha256(" ".join(map(name.__getitem__, got)).encode()).hexdigest())
+                digests.append(hashlib.sha256(shown.encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(got)).hexdigest())
                 if ids:
                     kept.append(got)
