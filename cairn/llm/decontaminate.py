@@ -24,7 +24,7 @@ BLOCK_BYTES = 2_000_000
 #: Hits that are expanded at once.
 HITS = 1_000_000
 
-_tokens = Bounded(lambda w: xxhash.xxh64_intdigest(w.strip(EDGES)), 500_000)
+_tokens = Bounded(lambda w: xxhash.xxh64_intdigest(w.strip(EDGES)), 200_000)
 _EMPTY = xxhash.xxh64_intdigest(b"")
 
 
