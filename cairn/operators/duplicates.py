@@ -6,33 +6,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.curate import banded_pairs
-from cairn.sources.shared import stored
+from cairn.sources.shared import discard, stored, written
 
 #: Ordinals in a bucket when groups are numbered; buckets are numbered by one small window.
 BUCKET = 1 << 16
 
 
+#: A key with over one row in so many (and this many at least) is a hub; there are at most so many hubs.
+HUB_SHARE, HUB_LEAST = 250, 100
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, size: int) -> DataFrame:
+    """Inner join of ``rows`` (``size`` of them) with ``values``, which has one row for each key.
+
+    The values of hubs, at most HUB_SHARE rows, are sent to all tasks, so a
+    hub's rows stay where they are; only the other keys are shuffled.
+    """
+    hubs = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HUB_LEAST, size // HUB_SHARE)).select(key).toArrow()
+    if not hubs.num_rows:
+        return rows.join(values, key)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hubs))
+    apart = rows.join(few, key, "left_anti").join(values.join(few, key, "left_anti"), key)
+    return rows.join(F.broadcast(values.join(few, key, "left_semi")), key).unionByName(apart)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """G1. ``edges(a, b)`` of numbers -> ``(node, root)``: each linked node with the largest node that it reaches.
 
     Rounds of min-label hooking with pointer jumping: a node takes the best
     label around it, then the label of that label, so paths shorten by powers
-    of two. Labels are aggregated before the shuffle and joins are equi-joins;
-    each round is written to the shared folder.
+    of two. Labels are aggregated before the shuffle, and hubs aren't shuffled
+    (``attach``); each round is written to the shared folder, and the one
+    before deleted.
     """
-    links = stored(edges.where("a <> b").select("a", "b").unionAll(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "group-links")
-    labels = stored(links.groupBy("a").agg(F.max("b").alias("m")).select(F.col("a").alias("node"), F.greatest("a", "m").alias("root")), "group-labels")
+    spark = edges.sparkSession
+    links, links_path = written(edges.where("a <> b").select("a", "b").unionAll(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "group-links")
+    labels, path = written(links.groupBy("a").agg(F.max("b").alias("m")).select(F.col("a").alias("node"), F.greatest("a", "m").alias("root")), "group-labels")
+    many, nodes = links.count(), labels.count()
     while True:
         seen = labels.withColumnsRenamed({"node": "b", "root": "around"})
-        best = links.join(seen, "b").groupBy("a").agg(F.max("around").alias("around")).withColumnRenamed("a", "node")
+        best = attach(links, seen, "b", many).groupBy("a").agg(F.max("around").alias("around")).withColumnRenamed("a", "node")
+        met, met_path = written(labels.join(best, "node"), "group-met")
         # What a node's root has learnt from any of its members counts for all of them.
-        taught = labels.join(best, "node").groupBy("root").agg(F.max("around").alias("up"))
-        hooked = labels.join(best, "node").join(taught, "root").select("node", F.col("root").alias("old"), F.greatest("root", "around", "up").alias("root"))
+        taught = met.groupBy("root").agg(F.max("around").alias("up"))
+        hooked, hooked_path = written(attach(met, taught, "root", nodes).select("node", F.col("root").alias("old"), F.greatest("root", "around", "up").alias("root")), "group-hooked")
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = stored(hooked.join(jump, "root").select("node", "old", F.greatest("root", "far").alias("root")), "group-labels")
+        after, after_path = written(attach(hooked, jump, "root", nodes).select("node", "old", F.greatest("root", "far").alias("root")), "group-labels")
+        discard(spark, path, met_path, hooked_path)
         changed = not after.where("old <> root").isEmpty()
-        labels = after.select("node", "root")
+        labels, path = after.select("node", "root"), after_path
         if not changed:
+            discard(spark, links_path)
             return labels
 
 

@@ -76,8 +76,8 @@ def robustness(per_condition: DataFrame) -> DataFrame:
     return t.groupBy("family").agg(*values).unionAll(t.agg(*values).select(F.lit(None).cast("string"), "*"))
 
 
-def generator_areas(clean: DataFrame, generator: str) -> DataFrame:
-    """Each generator's positives against all authentic rows, on clean scores, rounded to 4 digits; null with fewer than two of either.
+def generator_areas(clean: DataFrame, generator: str, least: int = 2) -> DataFrame:
+    """Each generator's positives against all authentic rows, on clean scores, rounded to 4 digits; null with fewer than ``least`` of either.
 
     Each generator's rows meet the authentic sums of the ranges of scores, not
     the authentic rows: negatives are collapsed by score once.
@@ -88,8 +88,8 @@ def generator_areas(clean: DataFrame, generator: str) -> DataFrame:
     scores = negative.select("s", "n").unionByName(positive.select("s", F.lit(0).alias("n"))).groupBy("s").agg(F.sum("n").alias("n"))
     below = M.running(scores, [], ["n"]).select("s", "n", "n_below", "n_all")
     sums = positive.join(below, "s").groupBy("g").agg(F.sum("p").alias("n_positives"), F.max("n_all").alias("negatives"), F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2)).alias("won"))
-    enough = (F.col("n_positives") >= 2) & (F.col("negatives") >= 2)
-    return sums.select(F.col("g").alias(generator), "n_positives", F.when(enough, F.round(F.col("won") / (F.col("n_positives") * F.col("negatives")), 4)).alias("auroc"))
+    enough = (F.col("n_positives") >= least) & (F.col("negatives") >= least)
+    return sums.select(F.col("g").alias(generator), "n_positives", "negatives", F.when(enough, F.round(F.col("won") / (F.col("n_positives") * F.col("negatives")), 4)).alias("auroc"))
 
 
 def domain_metrics(clean: DataFrame, domain: str, threshold: float) -> DataFrame:

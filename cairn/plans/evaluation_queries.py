@@ -54,7 +54,7 @@ def q62(spark, d):
  a AS ({AUROC.format(k="generator,", w="PARTITION BY generator", weight="1", t="o", g="GROUP BY generator")}) SELECT generator, n_positives, CASE WHEN n_positives >= 2 AND n_neg >= 2 THEN round(auroc, 4) END AS auroc FROM a JOIN g USING (generator)""")
 def q63(spark, d):
     """A16, A18."""
-    return E.generator_areas(scored(spark, d), "generator")
+    return E.generator_areas(scored(spark, d), "generator").drop("negatives")
 
 
 DOMAIN_SQL = f"""WITH {SCORED}, a AS ({AUROC.format(k="dataset,", w="PARTITION BY dataset", weight="1", t="scored", g="GROUP BY dataset")}), {RATES.format(k="dataset", t="0.3", s="scored")},

@@ -217,9 +217,9 @@ CHAIN = f"""{BASE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sha256
 
 
 def chain(spark, d) -> DataFrame:
-    ranked = C.first_rows(assigned(spark, d), "sha256", "doc_id")
+    ranked = C.first_flags(assigned(spark, d), "sha256", "doc_id")
     c = F.col
-    reason = C.first_reason([("unsafe_path", c("doc_id") % 97 == 3), ("forbidden", (c("generator") == "DALL-E 2") & (c("n_chars") % 11 == 0)), ("exact_duplicate", c("rank") > 1), ("tiny", c("n_chars") < 100), ("missing", (c("lang") == "fr") & (c("n_chars") % 13 == 0))])
+    reason = C.first_reason([("unsafe_path", c("doc_id") % 97 == 3), ("forbidden", (c("generator") == "DALL-E 2") & (c("n_chars") % 11 == 0)), ("exact_duplicate", ~c("is_first")), ("tiny", c("n_chars") < 100), ("missing", (c("lang") == "fr") & (c("n_chars") % 13 == 0))])
     return ranked.withColumn("reason", reason).select("doc_id", "dataset", "reason")
 
 
@@ -330,12 +330,8 @@ def q35(spark, d):
 
 @query("q36_per_generator_ovr", f"WITH {SCORED}, o AS (SELECT g.generator, s.score, s.y FROM (SELECT DISTINCT generator FROM scored WHERE y = 1) g JOIN scored s ON s.y = 0 OR (s.y = 1 AND s.generator = g.generator)), a AS ({AUROC.format(k='generator,', w='PARTITION BY generator', weight='1', t='o', g='GROUP BY generator')}) SELECT generator, n_pos, n_neg, round(auroc, 4) AS auroc FROM a")
 def q36(spark, d):
-    """Negatives are collapsed by score before they are paired with each generator."""
-    rows = scored(spark, d).where("y is not null")
-    pos = rows.where("y = 1").groupBy("generator", "score").agg(F.count(F.lit(1)).alias("w")).withColumn("y", F.lit(1))
-    neg = rows.where("y = 0").groupBy("score").agg(F.count(F.lit(1)).alias("w")).withColumn("y", F.lit(0))
-    paired = pos.select("generator").distinct().join(neg, how="cross").select("generator", "score", "w", "y")
-    return M.auroc(pos.select("generator", "score", "w", "y").unionByName(paired), ["generator"], weight=F.col("w")).withColumn("auroc", F.round("auroc", 4))
+    """A generator's positives meet the sums of the negatives below each score."""
+    return E.generator_areas(scored(spark, d), "generator", least=1).withColumnsRenamed({"n_positives": "n_pos", "negatives": "n_neg"})
 
 
 @query("q37_family_rollup", f"WITH {SCORED}, {COND_SQL}, a AS ({AUROC.format(k='condition, family,', w='PARTITION BY condition, family', weight='1', t='grid', g='GROUP BY condition, family')}) SELECT family, condition, round(avg(auroc), 9) AS mean_auroc, round(min(auroc), 9) AS worst_auroc FROM a GROUP BY ROLLUP (family, condition)")
