@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -20,8 +21,9 @@ from cairn.llm.common import Bounded, crc_of_id, discard, materialise, raw_bytes
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words whose counts are broadcast for the base, at most; all other words are joined.
 FREQUENT = 100_000
-#: Classes that the model predicts (the last is the end of a text), and how many of them are single ids.
-CLASSES, SINGLE = 256, 191
+#: Classes that the model predicts (the last is the end of a text) in groups of MEMBERS, and how many classes are single ids.
+CLASSES, SINGLE, MEMBERS = 512, 383, 32
+GROUPS = CLASSES // MEMBERS
 END_CLASS = CLASSES - 1
 #: Vectors of input ids: the most frequent ids have their own, all others of a class share one.
 VECTORS = 4096
@@ -165,23 +167,28 @@ def class_pairs(words: DataFrame, path: str, vocabulary: Vocabulary, texts: int)
 class Attention:
     """Causal self-attention and a feed-forward layer, both with residuals, over vectors of subword ids.
 
-    It predicts the class of the next id; the id follows from its class by its
-    share. Logits add the table ``W`` of class pairs, which begins with the
-    counted ones and is learnt on like all else.
+    It predicts the group of the next id's class, then the class in its group;
+    the id follows from its class by its share. Logits begin with the counted
+    pairs of classes (``pairs``: log share of each class after each other one),
+    which stay as they are counted; all else is learnt.
     """
 
     def __init__(self, pairs: np.ndarray, seed: int = 3):
         random = np.random.default_rng(seed)
-        d, draw = WIDTH, lambda *s: (random.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
+        d, draw = WIDTH, lambda *s: (random.standard_normal(s) / math.sqrt(d)).astype(np.float32)
         self.p = {
             "E": (random.standard_normal((VECTORS, d)) * 0.5).astype(np.float32), "P": (random.standard_normal((WINDOW, d)) * 0.1).astype(np.float32),
             "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": draw(d, d) * 0.5, "A": draw(d, 2 * d), "a": np.zeros(2 * d, np.float32), "B": draw(2 * d, d) * 0.5,
-            "U": draw(d, CLASSES) * 0.1, "W": pairs.astype(np.float32),
+            "U": draw(d, GROUPS) * 0.1, "M": draw(GROUPS, d, MEMBERS) * 0.1,
         }
+        each = pairs.reshape(CLASSES, GROUPS, MEMBERS)
+        top = each.max(-1)
+        self.group = (top + np.log(np.exp(each - top[:, :, None]).sum(-1))).astype(np.float32)
+        self.member = (each - self.group[:, :, None]).astype(np.float32).reshape(CLASSES * GROUPS, MEMBERS)
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
 
-    def forward(self, x: np.ndarray, c: np.ndarray) -> tuple:
-        """Activations and exponentials of the logits, with their sums, of the places after the context."""
+    def forward(self, x: np.ndarray) -> tuple:
+        """Activations of the places after the context."""
         p, b = self.p, len(x)
         e = p["E"][x] + p["P"]
         qkv = (e.reshape(-1, WIDTH) @ np.concatenate([p["Q"] * (1 / math.sqrt(WIDTH)), p["K"], p["V"]], axis=1)).reshape(b, WINDOW, 3 * WIDTH)
@@ -194,29 +201,55 @@ class Attention:
         m = np.matmul(s, v).reshape(-1, WIDTH)
         h = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, WIDTH) + m @ p["O"]
         r = np.maximum(h @ p["A"] + p["a"], 0)
-        g = h + r @ p["B"]
-        z = g @ p["U"]
-        z += p["W"][c]
+        return e, q, k, v, s, m, h, r, h + r @ p["B"]
+
+    def heads(self, g: np.ndarray, c: np.ndarray, y: np.ndarray) -> tuple:
+        """Logits less their largest of all groups, and of the members of each target's group, the latter in order of the groups."""
+        z = g @ self.p["U"]
+        z += self.group[c]
         z -= z.max(-1, keepdims=True)
-        return e, q, k, v, s, m, h, r, g, z
+        of = y // MEMBERS
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(GROUPS + 1))
+        sorted_g, w = g[order], self.member[(c * GROUPS + of)[order]]
+        for k in range(GROUPS):
+            a, b = bounds[k], bounds[k + 1]
+            if b > a:
+                w[a:b] += sorted_g[a:b] @ self.p["M"][k]
+        w -= w.max(-1, keepdims=True)
+        return z, w, of, order, bounds, sorted_g
 
     def log_probabilities(self, x: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of each target class's probability; ``x`` are input vectors, ``c`` the classes before the targets ``y`` (both flat)."""
-        z = self.forward(x, c)[-1]
-        target = z[np.arange(len(y)), y].astype(np.float64)
+        z, w, of, order, _, _ = self.heads(self.forward(x)[-1], c, y)
+        n = np.arange(len(y))
+        out, inner = z[n, of].astype(np.float64), w[n, (y % MEMBERS)[order]].astype(np.float64)
         np.exp(z, out=z)
-        return target - np.log(z.sum(-1, dtype=np.float64))
+        np.exp(w, out=w)
+        out -= np.log(z.sum(-1, dtype=np.float64))
+        out[order] += inner - np.log(w.sum(-1, dtype=np.float64))
+        return out
 
     def gradients(self, x: np.ndarray, c: np.ndarray, y: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the targets that are ``live``."""
-        p, (e, q, k, v, s, m, h, r, g, z) = self.p, self.forward(x, c)
+        p, (e, q, k, v, s, m, h, r, g) = self.p, self.forward(x)
+        z, w, of, order, bounds, sorted_g = self.heads(g, c, y)
+        weight, n, b = live / max(1.0, float(live.sum())), np.arange(len(y)), len(x)
         np.exp(z, out=z)
-        weight = live / max(1.0, float(live.sum()))
         z *= (weight / z.sum(-1))[:, None]
-        z[np.arange(len(y)), y] -= weight
-        b = len(x)
-        d = {"U": g.T @ z, "W": summed(c, z, CLASSES)}
+        z[n, of] -= weight
+        np.exp(w, out=w)
+        w *= (weight[order] / w.sum(-1))[:, None]
+        w[n, (y % MEMBERS)[order]] -= weight[order]
+        d = {"U": g.T @ z, "M": np.zeros_like(p["M"])}
+        back = np.empty_like(sorted_g)
+        for i in range(GROUPS):
+            a, t = bounds[i], bounds[i + 1]
+            if t > a:
+                d["M"][i] = sorted_g[a:t].T @ w[a:t]
+                back[a:t] = w[a:t] @ p["M"][i].T
         dg = z @ p["U"].T
+        dg[order] += back
         d["B"] = r.T @ dg
         dr = (dg @ p["B"].T) * (r > 0)
         d["A"], d["a"] = h.T @ dr, dr.sum(0)
@@ -225,11 +258,9 @@ class Attention:
         dm = (dh @ p["O"].T).reshape(b, STRIDE, WIDTH)
         ds, dv = np.matmul(dm, v.transpose(0, 2, 1)), np.matmul(s.transpose(0, 2, 1), dm)
         ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        flat = e.reshape(-1, WIDTH)
-        dq *= 1 / math.sqrt(WIDTH)
-        tail = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, WIDTH)
-        # ``q`` already holds the scale, so only the gradients of the projections need it.
+        # ``q`` already holds the scale, so only the gradients of its projection need it.
+        dq, dk = np.matmul(ds, k) * np.float32(1 / math.sqrt(WIDTH)), np.matmul(ds.transpose(0, 2, 1), q)
+        flat, tail = e.reshape(-1, WIDTH), np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, WIDTH)
         d["Q"], d["K"], d["V"] = tail.T @ dq.reshape(-1, WIDTH), flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
         de = (dk.reshape(-1, WIDTH) @ p["K"].T + dv.reshape(-1, WIDTH) @ p["V"].T).reshape(b, WINDOW, WIDTH)
         de[:, CONTEXT:] += (dh + dq.reshape(-1, WIDTH) @ p["Q"].T).reshape(b, STRIDE, WIDTH)
@@ -241,11 +272,11 @@ class Attention:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float32).tobytes()
 
     def unpack(self, raw: bytes) -> Attention:
-        flat, at = np.frombuffer(raw, np.float32), 0
-        for k in sorted(self.p):
-            n = self.p[k].size
-            self.p[k] = flat[at : at + n].reshape(self.p[k].shape).copy()
-            at += n
+        flat, at, old = np.frombuffer(raw, np.float32), 0, self.p
+        self.p = {}
+        for k in sorted(old):
+            self.p[k] = flat[at : at + old[k].size].reshape(old[k].shape).copy()
+            at += old[k].size
         return self
 
 
@@ -303,7 +334,7 @@ class Windows:
         return ids, self.number[some][:, None] * STRIDE + np.arange(STRIDE) < self.length[self.owner[some]][:, None]
 
 
-def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention, rounds: int = 2, batch: int = 32, rate: float = 4e-3) -> Attention:
+def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention, rounds: int = 2, batch: int = 64, rate: float = 4e-3) -> Attention:
     """Local training on all partitions, then the weighted mean of their weights; ``rounds`` times, each on its part of the texts.
 
     All windows of all texts are learnt from, each once, where it is: a text
@@ -311,13 +342,12 @@ def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention,
     weights a round.
     """
     spark = docs.sparkSession
-    nothing = np.zeros((CLASSES, CLASSES))
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((model.pack(), vocabulary))
+        sent = spark.sparkContext.broadcast((model, vocabulary))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate / (1 + r)) -> Iterator[pa.RecordBatch]:
-            raw, voc = sent.value
-            model, ids, seen = Attention(nothing).unpack(raw), token_ids(path), 0
+            model, voc = sent.value
+            model, ids, seen = copy.copy(model).unpack(model.pack()), token_ids(path), 0
             adam, random = Adam(model, rate), np.random.default_rng(5)
             for part in text_slices(batches, 500_000):
                 w = Windows(raw_bytes(part.column("text")), ids, voc.end)
@@ -346,7 +376,7 @@ def train(docs: DataFrame, path: str, vocabulary: Vocabulary, model: Attention,
     return model
 
 
-def text_scores(model: Attention, vocabulary: Vocabulary, texts: list[bytes], ids: Bounded, batch: int = 32) -> np.ndarray:
+def text_scores(model: Attention, vocabulary: Vocabulary, texts: list[bytes], ids: Bounded, batch: int = 64) -> np.ndarray:
     """log10 of the model's probability of each text's ids and its end."""
     w = Windows(texts, ids, vocabulary.end)
     out = np.zeros(len(texts))
@@ -376,7 +406,8 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     all ids of the text and its end; given what comes before, the probabilities
     of all ids and the end add up to one. Every training text is counted and
     learnt from, whole. Windows overlap by 16 tokens of context and score each
-    token once. Defined results: a null text is empty and has one token, the
+    token once; products are in single precision, so scores of equal texts may
+    differ after seven digits. Defined results: a null text is empty and has one token, the
     end; a null doc_id is learnt from and isn't held out; repeated rows stay and
     count; an empty table gives no rows; other columns are not read.
     """
@@ -395,11 +426,11 @@ def score_texts(docs: DataFrame, ranks: str | None = None, frequent: int = FREQU
     base = {r.word.encode(): math.log10((r.n + 1) / denominator) for r in counts.where(F.floor(F.log2("n") * 8) >= least).toLocalIterator()} if least < math.inf else {}
     base.pop(b"", None)
     vocabulary, model = fitted(training(docs), counts, path, ends)
-    sent = spark.sparkContext.broadcast((model.pack(), vocabulary, base, math.log10((ends + 1) / denominator)))
+    sent = spark.sparkContext.broadcast((model, vocabulary, base, math.log10((ends + 1) / denominator)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, vocabulary, base, end = sent.value
-        model, ids = Attention(np.zeros((CLASSES, CLASSES))).unpack(raw), token_ids(path)
+        model, vocabulary, base, end = sent.value
+        ids = token_ids(path)
         for part in text_slices(batches, 500_000):
             texts = raw_bytes(part.column("text"))
             bases, sizes, rare = [], [], []

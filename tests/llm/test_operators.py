@@ -334,6 +334,7 @@ def test_lm_gradients_equal_differences():
     c = voc.of[ids[:, lm_scoring.CONTEXT :]]
     args = (voc.vector[ids[:, :-1]], c[:, :-1].ravel(), c[:, 1:].ravel())
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    model.group, model.member, model.seen = (v.astype(np.float64) for v in (model.group, model.member, model.seen))
     loss = lambda: -(model.log_probabilities(*args) * live.ravel()).sum() / live.sum()
     d = model.gradients(*args, live.ravel().astype(np.float64))
     r = np.random.default_rng(3)
