@@ -92,7 +92,8 @@ def keep_one_of_each_group(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
 
     All columns stay as they are. Rows with a null doc_id stay, for they can't
-    be told apart; rows that repeat one doc_id count as one document.
+    be told apart; rows that repeat one doc_id count as one document; null and
+    blank texts are one group; an empty table gives no rows.
     """
     gone = near_duplicate_groups(docs, distance).where("doc_id <> component_id").select("doc_id").distinct()
     gone, _ = materialise(gone, "near-duplicates")
