@@ -93,19 +93,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int =
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], names=["doc_id", "label", "at"])
 
     rows = texts.mapInArrow(make, "doc_id long, label int, at array<int>").groupBy("doc_id", "label").agg(F.min("at").alias("at"))
-    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl()
-        for b in batches:
-            label = b.column("label").to_pylist()
-            for y, at in zip(label, b.column("at"), strict=True):
-                model.learn(at.values.to_numpy().astype(np.int64), int(y > 0))
+        held = [(int(y > 0), at.values.to_numpy()) for b in batches for y, at in zip(b.column("label").to_pylist(), b.column("at"), strict=True)]
+        for _ in range(passes):
+            for y, at in held:
+                model.learn(at.astype(np.int64), y)
         at, w = model.compact()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
-    # The only group that one task takes: at most ``sample`` rows, sorted as a stream.
-    stream = rows.repartition(1).sortWithinPartitions("pass", F.xxhash64("doc_id"), "doc_id").select("label", "at")
+    # The only group that one task takes: at most ``sample`` rows, sent once.
+    stream = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("label", "at")
     got = stream.mapInArrow(learn, "at long, w double").toArrow()
     return got.column("at").to_numpy(), got.column("w").to_numpy()
 
@@ -145,7 +144,14 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold
 
 
 def reject_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below the threshold; other rows go."""
+    """The rows of ``docs``, all columns, whose text scores below the threshold; other rows go.
+
+    Defined results: a model that has learnt from no label rejects nothing; null
+    and empty texts are judged by the intercept; null ids and repeated rows are
+    judged like all others; an empty table gives no rows.
+    """
+    if not len(model[0]):
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

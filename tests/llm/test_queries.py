@@ -84,4 +84,6 @@ def test_filters_on_rows_without_ids(spark, tables):
     assert decontaminate.drop_contaminated(docs, bench).count() == docs.count() - 1
     kept = toxicity.reject_toxic(docs, toxicity.fit(docs, spark.read.parquet(tables["full"] + "/labels.parquet")))
     assert kept.where("doc_id is null").count() == 2 and kept.columns == docs.columns
+    unlearnt = toxicity.fit(docs, spark.read.parquet(tables["empty"] + "/labels.parquet"))
+    assert toxicity.reject_toxic(docs, unlearnt).count() == docs.count()
     assert byte_bpe.encode_texts(docs.limit(0), ids=True).count() == 0
