@@ -236,7 +236,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def hamming_links(fingerprints: DataFrame, distance: int = 3, most: int = 4096, label: str = "links") -> DataFrame:
+def hamming_links(fingerprints: DataFrame, distance: int = 3, most: int = 4096, label: str = "links", size: int | None = None) -> DataFrame:
     """Edges (a, b) between the distinct ``fp`` of a table, that connect exactly what pairs within the distance connect.
 
     Values within the distance share one of ``distance + 1`` blocks. Those that
@@ -244,11 +244,12 @@ def hamming_links(fingerprints: DataFrame, distance: int = 3, most: int = 4096,
     returns one edge for each value to the first of its local group: rows stay
     linear however dense a group is. More than ``most`` values in a block are
     not searched but dealt again by that block plus a part of the other bits,
-    until they are few or the bits that are left bound their number.
+    until they are few or the bits that are left bound their number. ``size``,
+    the number of values or more, saves counting them; slots are cut by it.
     """
     masks = first_masks(distance)
     rows, own, found = fingerprints.select("fp").distinct(), False, []
-    size = fingerprints.count() * len(masks)
+    size = (fingerprints.count() if size is None else size) * len(masks)
     while True:
         limit = most if 64 - min(m.bit_count() for m in masks) > 12 else 1 << 20
         slots = max(1, -(-size // (SLOT * len(masks))), -(-4 * spread(fingerprints) // len(masks)))

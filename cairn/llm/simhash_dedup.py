@@ -81,7 +81,7 @@ def near_duplicate_groups(docs: DataFrame, distance: int = 3, width: int = 3, se
     """
     own, _ = materialise(fingerprints(docs, width, seed), "fingerprints")
     each = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(hamming_links(each, distance), "near").withColumnsRenamed({"node": "fp"})
+    roots = connected_components(hamming_links(each, distance, size=own.count()), "near").withColumnsRenamed({"node": "fp"})
     rooted, _ = materialise(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.select("fp", "root").join(names, "root").select("fp", "component_id")
