@@ -11,7 +11,7 @@ from cairn.operators import evaluate as E
 from cairn.operators import guards as G
 from cairn.operators import metrics as M
 from cairn.operators import select as S
-from cairn.plans.manifest_queries import AUROC, BASE, SCORED, assigned, manifest, read, scored
+from cairn.plans.manifest_queries import AUROC, BASE, SCORED, assigned, read, scored
 from cairn.plans.registry import query
 
 GRID = "cond AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {i})" for i, (a, b, _) in enumerate(E.CONDITIONS)) + ") c(condition, family, k)), grid AS (SELECT doc_id, dataset, generator, condition, family, y, greatest(0, score - k * 0.01::DOUBLE * (doc_id % 3)) AS score FROM scored, cond)"
