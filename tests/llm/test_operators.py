@@ -440,3 +440,31 @@ def test_url_shares_of_many_suffixes(spark):
     assert (got[1500].domain_share, got[0].last_share, got[0].part_share) == (0.5, 751 / 1502, 0.5)
     own = url_filter.with_shares(known.withColumn("n", known.y), known).collect()
     assert {x.domain_share for x in own} == {0.5}  # a labelled row's host isn't in its own share
+
+
+def test_lanes_equal_single_distances():
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdé 漢🎉\0") for _ in range(n))
+    for low, high in ((0, 5), (1, 64), (60, 130), (300, 420), (700, 900)):
+        pairs = []
+        for _ in range(60):
+            a = text(r.randint(low, high))
+            b = list(a)
+            for _ in range(r.randint(0, len(a) // 3)):
+                k = r.randrange(len(b) + 1)
+                b[k : k + r.randint(0, 1)] = text(r.randint(0, 2))
+            pairs.append((a, "".join(b) if r.random() < 0.8 else text(r.randint(low, high))))
+        d = [line_dedup.edit_distance(a, b, 10**6) for a, b in pairs]
+        for slack in (-30, -1, 0, 1, 20):
+            assert line_dedup.lanes_within(pairs, [x - slack for x in d]) == [slack <= 0] * len(pairs)
+            assert [line_dedup.edit_distance(a, b, x - slack) <= x - slack for (a, b), x in zip(pairs, d, strict=True)] == [slack <= 0] * len(pairs)
+
+
+def test_sieve_drops_rows_and_loses_none(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id * 7919 - 9 as k", "cast(id as string) as text")
+    keys = spark.range(0, 4000, 20).selectExpr("id * 7919 - 9 as k").unionAll(spark.range(3).selectExpr("-id - 100 as k"))
+    got = {r.text for r in line_dedup.sifted(rows, keys).collect()}
+    assert {str(i) for i in range(0, 4000, 20)} <= got and len(got) < 800
+    monkeypatch.setattr(line_dedup, "SIEVE", 15)  # too small for its keys
+    assert len(line_dedup.sifted(rows, rows.select("k")).collect()) == 4000
+    assert line_dedup.sifted(rows, rows.select("k").limit(0)).count() == 0
