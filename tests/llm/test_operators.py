@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from cairn.llm import ann_search, byte_bpe, decontaminate, license_scan, line_dedup, lm_scoring, simhash_dedup, token_counts, toxicity, url_filter
+from cairn.llm.common import materialise
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, fp long, line int, score double"
 LONG = "wörter und mehr " * 4000
@@ -468,3 +470,15 @@ def test_sieve_drops_rows_and_loses_none(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SIEVE", 15)  # too small for its keys
     assert len(line_dedup.sifted(rows, rows.select("k")).collect()) == 4000
     assert line_dedup.sifted(rows, rows.select("k").limit(0)).count() == 0
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    held = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    files = lambda: {x for x in held() if "shuffle_" in x}
+    before = files()
+    out, _ = materialise(spark.range(5000).repartition(3, "id"), "no-shuffles")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert out.count() == 5000 and files() <= before
