@@ -481,4 +481,5 @@ def test_written_tables_leave_no_shuffles(spark):
         if files() <= before:
             break
         time.sleep(0.1)
-    assert out.count() == 5000 and files() <= before
+    assert files() <= before
+    assert out.count() == 5000
