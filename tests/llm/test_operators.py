@@ -483,3 +483,24 @@ def test_written_tables_leave_no_shuffles(spark):
         time.sleep(0.1)
     assert files() <= before
     assert out.count() == 5000
+
+
+def test_components_by_both_ways_in_few_jobs(spark):
+    from cairn.llm.components import connected_components
+
+    r = random.Random(21)
+    pairs = [(i, i + 1) for i in range(60)] + [(500, 500 + r.randint(1, 300)) for _ in range(400)] + [(r.randint(1000, 1400), r.randint(1000, 1400)) for _ in range(150)] + [(7, 7), (None, 8)]
+    group = {v: v for p in pairs for v in p if None not in p and p[0] != p[1]}
+    for _ in range(100):
+        for a, b in pairs:
+            if a in group and b in group:
+                group[a] = group[b] = min(group[a], group[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("few-components", "")
+    got = {x.node: x.root for x in connected_components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-components"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert got == group and jobs <= 8
+    assert {x.node: x.root for x in connected_components(edges, together=20).collect()} == group
+    names = connected_components(edges.selectExpr("encode(lpad(a, 8, '0'), 'UTF-8') a", "encode(lpad(b, 8, '0'), 'UTF-8') b")).collect()
+    assert {int(x.node): int(x.root) for x in names} == group
