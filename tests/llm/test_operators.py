@@ -535,3 +535,26 @@ def test_compression_decides_what_is_confirmed_and_which_template(monkeypatch):
             assert scanner.judge(text) == want
             passed.append(sum(compared) / whole)
     assert sum(passed) / len(passed) < 0.5
+
+
+def test_counts_of_letters_bound_the_distance():
+    r = random.Random(41)
+    lines = ["".join(r.choice("abcdeé 漢") for _ in range(r.choice([0, 1, 2, 3, 40, 90]))) for _ in range(600)]
+    triples, letters = line_dedup.letter_counts(lines)
+    assert triples.sum(1).tolist() == [max(0, len(x) - 2) for x in lines] and letters.sum(1).tolist() == [len(x) for x in lines]
+    assert (line_dedup.letter_counts(lines[300:301])[0] == triples[300]).all()
+    for x, y in zip(range(600), range(1, 600), strict=False):
+        d, m = line_dedup.edit_distance(lines[x], lines[y], 999), max(len(lines[x]), len(lines[y]))
+        assert np.minimum(letters[x], letters[y]).sum() >= m - d and np.minimum(triples[x], triples[y]).sum() >= m - 2 - 3 * d
+    pairs = [(lines[0] * 3 + "q" * k, lines[0] * 3 + "z" * k) for k in range(12)]
+    for a, b in pairs:
+        assert (line_dedup.alike([a, b], [2], 0.8)[1] == 0) == (1 - line_dedup.edit_distance(a, b, 999) / max(1, len(a)) >= 0.8)
+
+
+def test_lines_are_written_small(spark, monkeypatch):
+    written, materialise_ = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda *a: (written.append(x := materialise_(*a)), x)[1])
+    monkeypatch.setattr(line_dedup, "discard", lambda *a: None)
+    assert line_dedup.repeated_lines(table(spark)).count() > 0
+    names = [f.split("/")[-1] for f in written[0][0].inputFiles()]
+    assert names and all(".zstd." in f for f in names)
