@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -558,3 +559,33 @@ def test_lines_are_written_small(spark, monkeypatch):
     assert line_dedup.repeated_lines(table(spark)).count() > 0
     names = [f.split("/")[-1] for f in written[0][0].inputFiles()]
     assert names and all(".zstd." in f for f in names)
+
+
+def test_lm_encodes_each_word_once_as_the_library_does(library, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["Don't stop DON'T  stop\n", None, "", "a b \u0085  x \x1c y1'll İ", " the\x0bend ", "the end " * 50]
+    words, at, owner = lm_scoring.words_of(pa.array(texts))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert [words[i].encode() for i in at] == [w for s in split for w in s] and owner.tolist() == [i for i, s in enumerate(split) for _ in s] and len(set(words)) == len(words)
+    seen, encoded = [], lm_scoring.encoded
+    monkeypatch.setattr(lm_scoring, "encoded", lambda path, words: seen.extend(words) or encoded(path, words))
+    got = lm_scoring.token_ids(path).packed(words, at, owner, len(texts)).to_pylist()
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [[i for w in s for i in library.encode_ordinary(" " + w.decode())] for s in split]
+    assert seen[: len(words)] == words  # then once more those without white space of their own
+
+
+def test_lm_blocks_of_attention_equal_plain_attention():
+    _, _, model = lm_of(["one two three"])
+    r, d, size = np.random.default_rng(8), lm_scoring.WIDTH, lm_scoring.BLOCK
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    model.p["P"] = r.standard_normal(model.p["P"].shape)
+    x = r.integers(0, lm_scoring.VECTORS, (2, lm_scoring.WINDOW))
+    got = model.forward(x)[-1].reshape(2, lm_scoring.STRIDE, d)
+    p = model.p
+    for b in range(2):
+        e = p["E"][x[b]]
+        for t in range(lm_scoring.CONTEXT, lm_scoring.WINDOW):
+            first = t // size * size - size
+            w = np.exp(np.array([e[t] @ p["Q"] @ e[j] + p["P"][t % size, j - first] for j in range(first, t + 1)]))
+            h = e[t] + (w / w.sum()) @ e[first : t + 1] @ p["V"]
+            assert np.allclose(got[b, t - lm_scoring.CONTEXT], h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"], atol=1e-5)
