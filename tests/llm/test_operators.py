@@ -589,3 +589,21 @@ def test_lm_blocks_of_attention_equal_plain_attention():
             w = np.exp(np.array([e[t] @ p["Q"] @ e[j] + p["P"][t % size, j - first] for j in range(first, t + 1)]))
             h = e[t] + (w / w.sum()) @ e[first : t + 1] @ p["V"]
             assert np.allclose(got[b, t - lm_scoring.CONTEXT], h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"], atol=1e-5)
+
+
+def test_shared_words_prove_similarity_without_exact_distances(monkeypatch):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 5)))
+    for _ in range(500):
+        v = [word() for _ in range(r.randint(1, 25))]
+        w = [x for x in v if r.random() > 0.15]
+        for _ in range(r.randint(0, 3)):
+            w.insert(r.randint(0, len(w)), word())
+        if r.random() < 0.2:
+            r.shuffle(w)
+        a, b = " ".join(v), " ".join(w)
+        d = line_dedup.edit_distance(a, b, 999)
+        assert not line_dedup.patched(a, b, d - 1) and line_dedup.patched(a, b, len(a) + len(b))
+    monkeypatch.setattr(line_dedup, "within", None)
+    line = [f"word{k}" for k in range(60)]
+    assert line_dedup.similar(" ".join(line), " ".join(["new", *line[:20], "other", "words", *line[24:50], *line[51:]]), 0.8)
